@@ -6,16 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing
+from pyspark.sql import functions as F
+
+from corpusloom.llm import byte_bpe, mixing
 from corpusloom.llm.common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the machine keeps a public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = byte_bpe.bpe_decode(byte_bpe.bpe_encode(docs, path, packed=True).drop("text"), path)
+    return both.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_poisson_mix": op3_poisson_mix,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
