@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, mixing
+from corpusloom.llm import byte_bpe, mixing, transport_stream
 from corpusloom.llm.common import table
 
 
@@ -35,8 +35,32 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    given = docs.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        transport_stream.padded_payload(F.col("text")).alias("payload"),
+    )
+    stored = transport_stream.store_payloads(given).select(
+        "*", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")
+    )
+    back = transport_stream.read_media(stored)
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, octet_length(payload) - 31, 32)")).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        transport_stream.features(back).alias("feature"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_poisson_mix": op3_poisson_mix,
+    "op6_transport_stream": op6_transport_stream,
     "op10_bpe": op10_bpe,
 }
 
