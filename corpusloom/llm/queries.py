@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, mixing, transport_stream
+from corpusloom.llm import byte_bpe, mixing, pii_crf, transport_stream
 from corpusloom.llm.common import table
 
 
@@ -23,6 +23,14 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_crf.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii_spans", lambda s: ~s["kind"].startswith("crf_"))
+    kinds = F.transform("pii_spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii_crf.joined(base), 256).alias("base_sha256"), pii_crf.joined(F.col("pii_spans")).alias("spans"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,6 +69,7 @@ def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_poisson_mix": op3_poisson_mix,
     "op6_transport_stream": op6_transport_stream,
+    "op9_pii_crf": op9_pii_crf,
     "op10_bpe": op10_bpe,
 }
 
