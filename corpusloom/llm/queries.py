@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, mixing, pii_crf, transport_stream
+from corpusloom.llm import byte_bpe, jaccard_join, mixing, pii_crf, transport_stream
 from corpusloom.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_crf.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: ~s["kind"].startswith("crf_"))
@@ -69,6 +73,7 @@ def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_poisson_mix": op3_poisson_mix,
     "op6_transport_stream": op6_transport_stream,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_pii_crf": op9_pii_crf,
     "op10_bpe": op10_bpe,
 }
