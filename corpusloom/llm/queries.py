@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, jaccard_join, mixing, pii_crf, transport_stream
+from corpusloom.llm import byte_bpe, jaccard_join, mixing, pii_crf, repeats, toxicity, transport_stream
 from corpusloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_crf.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: ~s["kind"].startswith("crf_"))
@@ -47,6 +51,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_texts(docs, model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     given = docs.select(
@@ -72,12 +88,15 @@ def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_poisson_mix": op3_poisson_mix,
+    "op4_weak_toxicity": op4_weak_toxicity,
     "op6_transport_stream": op6_transport_stream,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_recompression": op8_recompression,
     "op9_pii_crf": op9_pii_crf,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op3_poisson_mix": mixing.ORACLE,
+    "op8_recompression": repeats.ORACLE,
 }
