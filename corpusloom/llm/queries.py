@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, mixing, pii_crf, repeats, toxicity, transport_stream
+from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, mixing, pii_crf, repeats, toxicity, transport_stream, warc
 from corpusloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op2_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
     return pairs.select(
@@ -100,6 +104,7 @@ def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_one_permutation": op2_one_permutation,
     "op3_poisson_mix": op3_poisson_mix,
     "op4_weak_toxicity": op4_weak_toxicity,
