@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, mixing, pii_crf, repeats, toxicity, transport_stream, warc
+from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, mixing, pii_crf, repeats, toxicity, transport_stream, warc, wrapper_induction
 from corpusloom.llm.common import table
 
 
@@ -80,6 +80,11 @@ def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wrapper_induction.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     given = docs.select(
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_one_permutation": op2_one_permutation,
     "op3_poisson_mix": op3_poisson_mix,
     "op4_weak_toxicity": op4_weak_toxicity,
+    "op5_wrapper_induction": op5_wrapper_induction,
     "op6_transport_stream": op6_transport_stream,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_recompression": op8_recompression,
