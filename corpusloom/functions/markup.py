@@ -12,7 +12,7 @@ from corpusloom.functions.text import CJK, INLINE_MARKERS, count_of, strip
 
 # Patterns (fixed values).
 TAG = r"(?U)\[\[\s*/?\s*([A-Za-z_][A-Za-z0-9_:.\-]*)"
-URL = r"""(?U)https?://[^\s\]|<>"']+"""
+URL = r"""(?U)https?://[^\s\x1c-\x1f\]|<>"']+"""
 PARAM = r"(?U)\|?\s*([A-Za-z_][A-Za-z0-9_\-]*)\s*="
 CONSTRUCT = r"(?s)\[\[.*?\]\]"
 CODE = r"(?s)\{\{\{.*?\}\}\}"

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\x1c-\x1f]"
+_SPACES = r"\s\x1c-\x1f"
+SPACE = f"[{_SPACES}]"
 _STRIP = rf"(?U)\A{SPACE}+|{SPACE}+\z"
 CJK = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{3000}-\x{303f}]"
 #: Markers removed from plain text, in this order (fixed values).
@@ -165,7 +166,7 @@ def latin_ratio(c: Column) -> Column:
 def plain_text(c: Column) -> Column:
     """Prose without markup: code, constructs, addresses, heading and list marks, inline markers."""
     out = text(c)
-    for pattern in (r"(?s)\{\{\{.*?\}\}\}", r"\[\[/?[^\]]*\]\]", r"""https?://[^\s\]|<>"']+""", r"(?mdU)^\s*(\+{1,6})\s", r"(?mdU)^\s*[>#*]\s+"):
+    for pattern in (r"(?s)\{\{\{.*?\}\}\}", r"\[\[/?[^\]]*\]\]", rf"""(?U)https?://[^{_SPACES}\]|<>"']+""", rf"(?mdU)^{SPACE}*(\+{{1,6}}){SPACE}", rf"(?mdU)^{SPACE}*[>#*]{SPACE}+"):
         out = F.regexp_replace(out, pattern, " ")
     for marker in INLINE_MARKERS:
         out = F.replace(out, F.lit(marker), F.lit(""))
