@@ -296,3 +296,61 @@ def t08_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t09_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"])
+
+
+@query()
+def q08_structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import chunks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return chunks.structured_chunks(docs, "doc_id", "text", 60, 120)
+
+
+@query()
+def m01_hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import models
+
+    return models.embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", F.size("vec").alias("width"))
+
+
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS tokens, (40 + len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) + 1)::INT AS cost FROM documents")
+def n01_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import models
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", models.count_tokens(F.col("text")).alias("tokens"), models.window_cost(F.col("text"), F.col("lang"), 40).alias("cost"))
+
+
+@query("SELECT doc_id, side, idx::INT AS idx, text FROM (SELECT doc_id::VARCHAR AS doc_id, 's' AS side, generate_subscripts(ps, 1) - 1 AS idx, unnest(ps) AS text FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ps FROM documents))")
+def s07_page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import models
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("s"), "lang")
+    return models.paragraphs_of(docs, "doc_id", "s", "lang").where("side = 's'").select(F.col("doc").alias("doc_id"), "side", "idx", "text")
+
+
+@query("SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank FROM documents")
+def o01_global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.operators import splits
+
+    return splits.global_rank(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
+def a18_most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events WHERE (props::JSON ->> 'k')::BIGINT >= 50")
+def s03_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    return found.where("k >= 50")
+
+
+@query("SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text, length(replace(text, chr(10), '')) > 0 AS kept FROM documents WHERE length(trim(text)) > 0 AND length(trim(source)) > 0")
+def f01_non_blank_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.sources import files
+
+    rows = files.page_table(table(spark, sf_dir, "documents"), "text", "source", "doc_id")
+    return rows.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), (F.length(F.replace("text", F.lit("\n"), F.lit(""))) > 0).alias("kept"))
