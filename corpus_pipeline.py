@@ -53,8 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text decoded from them."""
     path = tokenizer_path()
-    encoded = byte_bpe.bpe_encode(docs.select("doc_id", "source", "text"), path, packed=True).drop("text")
-    both = byte_bpe.bpe_decode(encoded, path)
+    both = byte_bpe.bpe_encode(docs.select("doc_id", "source", "text"), path, packed=True, decoded="decoded")
     return both.select("doc_id", "source", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -42,7 +42,7 @@ def _latin_pattern() -> str:
 
 _WIDE = re.compile("[^\x00-\xff]").search
 LONG = 256
-CACHED_WORDS, CACHED_CHARS = 400_000, 48
+CACHED_WORDS, CACHED_CHARS = 200_000, 48
 _NONE = 1 << 62
 
 
@@ -156,9 +156,12 @@ def tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text", packed: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, text: str = "text", packed: bool = False, decoded: str | None = None) -> DataFrame:
     """Add ``ids``: array<int>, or with ``packed`` binary (little-endian unsigned 32-bit).
 
+    With ``decoded`` the text decoded from these ids is added under that name in
+    the same pass, which needs half the workers of a second one.
+
     All columns pass through; an input column ``ids`` gives way.  A null text
     counts as empty and gives no ids.  Texts are encoded whole, whatever their
     length.  Rows are independent: nothing is shuffled, and repeated rows give
@@ -166,14 +169,18 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", packed: bool = Fa
     """
     require(docs, text)
     given = with_columns(docs, {"ids": text_of(text)})
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("ids", T.BinaryType())])
+    if decoded:
+        given = given.drop(decoded)
+    own = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([*given.schema.fields[:-1], *own, T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode
+        bpe = tokenizer(path)
         for batch in batches:
             for part in chunks(batch, "ids"):
-                ids = pa.array([encode(t) for t in part.column("ids").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=part.schema.names)
+                ids = [bpe.encode(t) for t in part.column("ids").to_pylist()]
+                texts = [pa.array([bpe.decode(i) for i in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *texts, pa.array(ids, pa.binary())], names=schema.names)
 
     found = given.mapInArrow(run, schema)
     return found if packed else _unpacked(found)

@@ -102,8 +102,8 @@ def sketch(docs: DataFrame) -> DataFrame:
                 if len(some):
                     sums = [np.add.reduceat(mix(h ^ np.uint64(s)), bounds[:-1]) for s in (0x51ED, 0xA2F7)]
                     sig = signatures(h, bounds)
-                    flat, rows = sig.astype(np.uint64).ravel(), np.arange(len(some))
-                    keys = np.stack([span_hashes(flat, rows * ROWS * BANDS + b * ROWS, rows * ROWS * BANDS + (b + 1) * ROWS, 3 + b) for b in range(BANDS)], 1)
+                    at = np.arange(len(some) * BANDS) * ROWS
+                    keys = span_hashes(sig.astype(np.uint64).ravel(), at, at + ROWS, 3).reshape(-1, BANDS)
                     for i, at in enumerate(some.tolist()):
                         columns[0][at], columns[1][at] = int(sums[0][i].view(np.int64)), int(sums[1][i].view(np.int64))
                         columns[2][at] = keys[i].view(np.int64)

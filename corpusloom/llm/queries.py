@@ -59,7 +59,7 @@ def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = byte_bpe.bpe_decode(byte_bpe.bpe_encode(docs, path, packed=True).drop("text"), path)
+    both = byte_bpe.bpe_encode(docs, path, packed=True, decoded="decoded")
     return both.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),

@@ -8,12 +8,18 @@ anything else inside one text.  A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries
+    _TRIM = None
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,6 +36,14 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def _lengths(column: pa.Array) -> bytes:
@@ -90,19 +104,12 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
 def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            have = np.full(size, base, np.uint64)
-            have[0] = 1
-            np.multiply.accumulate(have, out=have)
-        _POWERS[base] = have
-    return have[:n]
+    """base**0 .. base**(n - 1); made anew each time, as keeping them for each base would hold more memory than the time is worth."""
+    powers = np.full(n, base, np.uint64)
+    powers[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(powers, out=powers)
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
