@@ -217,7 +217,7 @@ def label_model(given: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
         for label, p in ((0, 1 - post), (1, post)):
             tables[:, label] = (np.einsum("n,nks->ks", p, states) + [1.0, 0.5, 0.5]) / (p.sum() + 2)
         expect = (1 - post)[:, None] * (tables[:, 0, 2] - tables[:, 0, 1]) + post[:, None] * (tables[:, 1, 2] - tables[:, 1, 1])
-        if step % 5 == 4:
+        if not step:  # under the labels' posterior: later ones already follow voters that agree
             rest = states[:, :, 2] - states[:, :, 1] - expect
             spread = np.maximum(rest.std(0), 1e-6)
             corr = rest.T @ rest / n / np.outer(spread, spread)

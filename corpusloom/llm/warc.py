@@ -30,7 +30,7 @@ from corpusloom.llm.html_dom import Node, blocks, parse, tidy
 from corpusloom.llm.text_arrays import chunks
 
 VERSION, NO_DATE = "WARC/1.1", "1970-01-01T00:00:00Z"
-_INVISIBLE = frozenset("script style noscript template iframe head textarea".split())
+_INVISIBLE = frozenset("script style noscript template iframe head title textarea".split())
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9._:-]+)", re.I)
 
 
