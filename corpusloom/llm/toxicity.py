@@ -13,7 +13,8 @@
    maximisation on that sample that starts from its labels; voters whose votes stay correlated given the label are found
    from the covariance of their residuals and share one vote's weight.
 4. *Classifier*: logistic regression over hashed words and word beginnings,
-   trained on the label model's posteriors.  Scores use every word of a text.
+   trained on the label model's posteriors; its bias is calibrated on the training
+   labels.  Scores use every word of a text.
 
 Neither labels, languages, sources nor ``doc_id`` are inputs of a score.
 """
@@ -252,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     flip = np.corrcoef(post, toxic)[0, 1] if post.std() > 1e-9 and toxic.std() > 0 else 1.0
     if flip < 0:
         post = 1 - post
-    return _classifier(voted["features"], keys, np.clip(post, 0.01, 0.99), tables[:, 1, 2], corr)
+    return _classifier(voted["features"], keys, np.clip(post, 0.01, 0.99), toxic, tables[:, 1, 2], corr)
 
 
 def _voted(lexicon: dict[int, int]):
@@ -272,8 +273,23 @@ def _voted(lexicon: dict[int, int]):
     return run
 
 
-def _classifier(features, keys: np.ndarray, target: np.ndarray, accuracies: np.ndarray, correlations: np.ndarray, steps: int = 300) -> ToxicityModel:
-    """Logistic regression on posteriors, by full-batch AdaGrad with a ridge."""
+def cutoff(margin: np.ndarray, toxic: np.ndarray) -> float:
+    """The margin that parts the labels with least balanced error; the middle of the gap, if several do."""
+    order = np.argsort(margin, kind="stable")
+    m, t = margin[order], toxic[order] == 1
+    if t.all() or not t.any():
+        return float(m[-1] + 1 if not t.any() else m[0] - 1)
+    missed, raised = np.cumsum(t) / t.sum(), 1 - np.cumsum(~t) / (~t).sum()
+    error = np.where(np.append(m[1:] > m[:-1], False), missed + raised, np.inf)
+    at = int(error.argmin())
+    return float((m[at] + m[at + 1]) / 2) if np.isfinite(error[at]) else float(m.mean())
+
+
+def _classifier(features, keys: np.ndarray, target: np.ndarray, toxic: np.ndarray, accuracies: np.ndarray, correlations: np.ndarray, steps: int = 1000) -> ToxicityModel:
+    """Logistic regression on posteriors, by full-batch AdaGrad with a ridge.
+
+    The bias is then set so that the margin that best parts the training labels scores ``THRESHOLD``.
+    """
     order = np.argsort(keys)
     keys = keys[order]
     row, column = [], []
@@ -293,6 +309,8 @@ def _classifier(features, keys: np.ndarray, target: np.ndarray, accuracies: np.n
         gb = rest.mean()
         square_bias += gb * gb
         bias += 0.1 * gb / np.sqrt(square_bias)
+    margin = np.bincount(row, w[column], n) + bias
+    bias += np.log(THRESHOLD / (1 - THRESHOLD)) - cutoff(margin, toxic)
     return ToxicityModel(keys, w, float(bias), accuracies, correlations)
 
 
