@@ -39,6 +39,21 @@ def with_reference(predictions: DataFrame, references: DataFrame, key: str, colu
     return rows.withColumns(found).drop("__head", *(f"__{s}_{c}" for s in "ab" for c in columns))
 
 
+def in_order(moves: DataFrame, pages: DataFrame, doc: str, pos: str) -> DataFrame:
+    """Documents that are in both tables, in the order in which they first stand in ``moves``."""
+    first = moves.groupBy(doc).agg(F.min(pos).alias("__first"))
+    return pages.join(first, doc).orderBy("__first", doc).drop("__first")
+
+
+def union_keys(*tables: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of all tables, and in how many of them each stands."""
+    every = None
+    for t in tables:
+        own = t.select(key).distinct()
+        every = own if every is None else every.unionByName(own)
+    return every.groupBy(key).agg(F.count(F.lit(1)).alias("tables"))
+
+
 def not_done(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in ``done`` yet."""
     return todo.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")

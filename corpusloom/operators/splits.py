@@ -87,6 +87,13 @@ def round_robin(df: DataFrame, doc: str, row_id: str, target: int, seed: int = 4
     return ranked.orderBy("turn", key_rank(F.col(doc), seed), doc).limit(target)
 
 
+def subsample(df: DataFrame, doc: str, row_id: str, target: int, seed: int = 42) -> DataFrame:
+    """A round-robin sample in shuffled order; all rows, as they are, if there are no more than ``target``."""
+    if df.count() <= target:
+        return df
+    return round_robin(df, doc, row_id, target, seed).drop("turn").orderBy(key_rank(F.col(row_id), seed + 1), row_id)
+
+
 def strata_sample(df: DataFrame, size: str, row_id: str, limit: int, strata: int) -> DataFrame:
     """Systematic sample over equal-count strata of ``size`` (ties by ``row_id``): each gives its share at even steps.
 

@@ -301,3 +301,26 @@ def s08_largest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'src3') AND NOT regexp_matches(lang, '^(e.*|d[ae])$')")
 def f06_include_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.chosen(table(spark, sf_dir, "documents"), "source", ["src1", "src2", "src3"], "lang", ["e*", "d[ae]"]).select("doc_id", "source")
+
+
+@query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha1('42:' || doc_id), doc_id) AS turn FROM documents) SELECT doc_id, source FROM r ORDER BY turn, sha1('42:' || source), source LIMIT 200")
+def l05_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.subsample(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 200)
+
+
+@query("SELECT d.doc_id, d.n_chars FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def j02_common_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where("toxic = 1").withColumn("pos", -F.col("doc_id"))
+    return joins.in_order(labels, table(spark, sf_dir, "documents"), "doc_id", "pos").select("doc_id", "n_chars")
+
+
+@query(f"WITH {_PAIRS}, {_UNITS} SELECT conv_id, turn, cost FROM units WHERE cost <= 120")
+def f04_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.within_budget(_units(spark, sf_dir), F.col("cost"), 120).select("conv_id", "turn", "cost")
+
+
+@query("SELECT doc_id, count(*) AS tables FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 0 UNION ALL SELECT DISTINCT doc_id FROM labels WHERE toxic = 1 UNION ALL SELECT DISTINCT doc_id FROM documents WHERE doc_id % 10 = 0) GROUP BY doc_id")
+def u01_union_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    return joins.union_keys(labels.where("quality = 0"), labels.where("toxic = 1"), docs, key="doc_id")
