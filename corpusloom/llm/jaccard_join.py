@@ -39,7 +39,7 @@ from corpusloom.llm.graph import components
 from corpusloom.llm.text_arrays import buffer_of, chunks, mix, span_hashes, stream, window_hashes, word_hashes, words
 
 SHINGLE, ROWS, BANDS, STEP = 5, 6, 32, 32
-TOLERANCE, BLOCK = 1e-5, 512
+TOLERANCE, BLOCK = 1e-5, 96
 #: The threshold 0.8 as a fraction.
 THRESHOLD = (4, 5)
 
