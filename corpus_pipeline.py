@@ -24,8 +24,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; the model learns from ``labels`` by its own rule."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_texts(docs, model)
-    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    scored = toxicity.score_texts(docs, model, output="__toxicity")
+    return scored.where(F.col("__toxicity") < toxicity.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated towards equal weights of all sources, in random order."""
-    return mixing.poisson_mix(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return mixing.poisson_mix(docs, copy_no="__copy_no", shuffle_key="__shuffle_key").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

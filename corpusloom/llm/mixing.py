@@ -70,7 +70,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     return counts.select("source", "n_rows", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
-def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17) -> DataFrame:
+def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17, copy_no: str = "copy_no", shuffle_key: str = "shuffle_key") -> DataFrame:
     """Repeat documents by Poisson counts and shuffle the copies globally.
 
     Needs ``doc_id`` and ``source``; all columns pass through, and ``copy_no``
@@ -98,8 +98,8 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
     counted = joined.withColumn("__count", count).where("__count > 0")
     copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
     key = _bits(seed + 1, docs["doc_id"], docs["source"], F.col("__copy"))
-    out = with_columns(copies, {"copy_no": F.col("__copy"), "shuffle_key": key})
-    return out.drop("__source", "__parts", "__cdf", "__count", "__copy").orderBy("shuffle_key", "doc_id", "copy_no")
+    out = with_columns(copies, {copy_no: F.col("__copy"), shuffle_key: key})
+    return out.drop("__source", "__parts", "__cdf", "__count", "__copy").orderBy(shuffle_key, "doc_id", copy_no)
 
 
 ORACLE = """

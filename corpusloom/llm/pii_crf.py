@@ -419,22 +419,22 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_pii(docs: DataFrame, text: str = "text", model: Crf | None = None) -> DataFrame:
-    """Add ``pii_spans``: array of (kind, start, end) in code points, base kinds first.
+def find_pii(docs: DataFrame, text: str = "text", model: Crf | None = None, output: str = "pii_spans") -> DataFrame:
+    """Add ``output``: array of (kind, start, end) in code points, base kinds first.
 
-    All columns pass through (an input column ``pii_spans`` gives way).  A null
+    All columns pass through (an input column of the output's name gives way).  A null
     text counts as empty and has no spans.  Texts are searched whole.  Rows are
     independent, nothing is shuffled, and repeated rows give repeated results.
     """
     require(docs, text)
     model = model or default_model()
-    given = with_columns(docs, {"pii_spans": text_of(text)})
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("pii_spans", SPANS)])
+    given = with_columns(docs, {output: text_of(text)})
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField(output, SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "pii_spans"):
-                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in row] for row in batch_spans(part.column("pii_spans"), model)]
+            for part in chunks(batch, output):
+                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in row] for row in batch_spans(part.column(output), model)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(spans, _ARROW)], names=part.schema.names)
 
     return given.mapInArrow(run, schema)
@@ -446,8 +446,8 @@ def mask_pii(docs: DataFrame, text: str = "text", model: Crf | None = None) -> D
     Column order and names stay.  A null text stays null.
     """
     require(docs, text)
-    found = find_pii(docs, text, model)
-    ordered = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found = find_pii(docs, text, model, "__spans")
+    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -457,7 +457,7 @@ def mask_pii(docs: DataFrame, text: str = "text", model: Crf | None = None) -> D
         return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(fresh)
 
     masked = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.select(*(F.when(F.size("pii_spans") > 0, masked).otherwise(found[f"`{c}`"]).alias(c) if c == text else found[f"`{c}`"] for c in docs.columns if c != "pii_spans"))
+    return found.select(*(F.when(F.size("__spans") > 0, masked).otherwise(found[f"`{c}`"]).alias(c) if c == text else found[f"`{c}`"] for c in docs.columns))
 
 
 def joined(spans: Column) -> Column:

@@ -314,23 +314,23 @@ def _classifier(features, keys: np.ndarray, target: np.ndarray, toxic: np.ndarra
     return ToxicityModel(keys, w, float(bias), accuracies, correlations)
 
 
-def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """Add ``toxicity`` (0 to 1).
+def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", output: str = "toxicity") -> DataFrame:
+    """Add ``output`` (0 to 1).
 
-    All columns pass through (an input column ``toxicity`` gives way).  A null
+    All columns pass through (an input column of the output's name gives way).  A null
     text counts as empty; an empty one gets the model's base score.  Texts are
     scored whole; rows are independent, nothing is shuffled, and repeated texts
     score alike.
     """
     require(docs, text)
-    given = with_columns(docs, {"toxicity": text_of(text)})
+    given = with_columns(docs, {output: text_of(text)})
     from pyspark.sql import types as T
 
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("toxicity", T.DoubleType())])
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField(output, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "toxicity"):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.score(part.column("toxicity")))], names=part.schema.names)
+            for part in chunks(batch, output):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.score(part.column(output)))], names=part.schema.names)
 
     return given.mapInArrow(run, schema)
