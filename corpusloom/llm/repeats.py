@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import materialise, require, text_of
 from corpusloom.llm.text_arrays import buffer_of, chunks, mix, span_hashes, stream, word_hashes, words
 
-WINDOW, ROUNDS = 50, 6
+WINDOW, ROUNDS = 50, 7
 
 
 class Parsed:
