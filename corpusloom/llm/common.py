@@ -35,11 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them again."""
-    path = f"{shared_dir(df.sparkSession)}-{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder and read them again.
+
+    With ``tidy`` Spark removes the shuffle files behind the rows as soon as they are
+    written, instead of when the driver's garbage is collected.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}-{name}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true" if tidy else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.table_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables whose rows are all in later ones."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.table_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:

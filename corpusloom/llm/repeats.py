@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, require, text_of
+from corpusloom.llm.common import discard, materialise, require, text_of
 from corpusloom.llm.text_arrays import buffer_of, chunks, mix, span_hashes, stream, word_hashes, words
 
-WINDOW, ROUNDS = 50, 7
+WINDOW, ROUNDS = 50, 6
 
 
 class Parsed:
@@ -174,25 +174,30 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     require(docs, "doc_id", "text")
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    sketched = materialise(sketch(given), "sketch")
-    long = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
+    whole = materialise(sketch(given), "sketch")
+    long = whole.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
     firsts = materialise(long.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("first")), "firsts")
     chosen = long.join(firsts, ["seq_a", "seq_b"]).where("doc_id = first")
-    chosen = materialise(chosen.select("doc_id", "seq_a", "symbols", "bare"), "chosen")
+    chosen = materialise(chosen.select("doc_id", "seq_a", "symbols", "bare"), "chosen", tidy=True)
+    # From here on tables that are used up are deleted: what they gave is in later ones.
+    sketched = materialise(whole.select("doc_id", "n_words", "digest", "seq_a", "seq_b"), "words")
+    discard(whole)
     named = chosen.select("doc_id", "seq_a", F.explode("symbols").alias("symbol"))
     shared = named.groupBy("symbol").agg(F.min("seq_a").alias("low"), F.max("seq_a").alias("high")).where("low <> high").select("symbol")
     own = named.join(shared, "symbol").groupBy("doc_id", "seq_a").agg(F.collect_set("symbol").alias("shared"))
-    own = materialise(own, "shared")
+    own = materialise(own, "shared", tidy=True)
     plain = chosen.select("doc_id", "seq_a", "bare").distinct()
     need = plain.join(own, ["doc_id", "seq_a"], "left").where("bare OR shared IS NOT NULL").select("doc_id", "seq_a", "shared")
     columns = "doc_id bigint, seq_a bigint, text string, starts array<int>, which array<int>, one array<bigint>, two array<bigint>"
-    left = materialise(need.join(given, "doc_id").mapInArrow(_candidates, columns), "candidates")
+    left = materialise(need.join(given, "doc_id").mapInArrow(_candidates, columns), "candidates", tidy=True)
+    discard(chosen, own)
     windows = left.select("doc_id", "seq_a", F.posexplode(F.arrays_zip("one", "two")).alias("at", "w")).select("doc_id", "seq_a", "at", "w.one", "w.two")
     least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").drop("most")
     hits = windows.join(least, ["one", "two"]).where("doc_id > least").groupBy("doc_id", "seq_a").agg(F.collect_list("at").alias("hit"))
+    hits = materialise(hits, "hits", tidy=True)
     cut = left.select("doc_id", "seq_a", "text", "starts", "which").join(hits, ["doc_id", "seq_a"])
     cut = cut.mapInArrow(_removals, "doc_id bigint, seq_a bigint, n_removed bigint, kept string").dropDuplicates(["doc_id", "seq_a"])
-    rows = sketched.select("doc_id", "n_words", "digest", "seq_a", "seq_b").join(firsts, ["seq_a", "seq_b"], "left").join(cut, ["doc_id", "seq_a"], "left")
+    rows = sketched.join(firsts, ["seq_a", "seq_b"], "left").join(cut, ["doc_id", "seq_a"], "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("bigint")))
     kept = F.when(copy, F.lit("")).otherwise(F.col("kept"))
