@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, require, text_of, with_columns
-from corpusloom.llm.text_arrays import buffer_of, chunks, span_hashes, stream, window_hashes, word_hashes
+from corpusloom.llm.common import discard, materialise, require, text_of, with_columns
+from corpusloom.llm.jaccard_join import jaccard_classes
+from corpusloom.llm.text_arrays import buffer_of, chunks, span_hashes, stream
 
 #: Sizes of word beginnings in bytes; 0 is the whole word.
 BEGINNINGS = (4, 5, 6, 7, 0)
@@ -157,33 +158,31 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The bounded sample that models are fitted on: ``doc_id``, ``text``, ``toxic``.
 
     At most ``MAX_SAMPLE`` labelled documents that may train, those with the least
-    hash of ``doc_id``; a document with several labels takes the largest.  Near
-    copies teach nothing new but would make all their words look like evidence,
-    so of those that share their least bigram hash the one with the least
-    ``doc_id`` stays.  The sample's ids are broadcast: their number is bounded.
+    hash of ``doc_id``; a document with several labels takes the largest.  The
+    sample's ids are broadcast: their number is bounded.  Near copies are dropped
+    by :func:`without_near_copies`.
     """
     mine = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, F.lit(False))
     kept = labels.where(mine & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     kept = kept.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(MAX_SAMPLE).select("doc_id", "toxic")
     rows = docs.select("doc_id", text_of().alias("text")).where(mine).join(F.broadcast(kept), "doc_id")
+    return without_near_copies(rows.select("doc_id", "text", "toxic"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                data, starts, ends, owner = tokens(part.column("text"))
-                first = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                at, pairs = window_hashes(word_hashes(data, starts, ends), first, 2)
-                bounds = np.searchsorted(at, first)
-                some = np.flatnonzero(np.diff(bounds) > 0)
-                near = np.array([-1 - int(i or 0) for i in part.column("doc_id").to_pylist()], np.int64)
-                if len(some):
-                    near[some] = (np.minimum.reduceat(pairs, bounds[:-1][some]) >> np.uint64(1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near)], names=[*part.schema.names, "near"])
-
-    found = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, text string, toxic int, near bigint")
-    found = materialise(found, "labelled-sample")
-    lone = found.groupBy("near").agg(F.min("doc_id").alias("doc_id"))
-    return found.join(lone, ["near", "doc_id"]).select("doc_id", "text", "toxic")
+
+def without_near_copies(rows: DataFrame) -> DataFrame:
+    """One row of each label in each class of near copies, that with the least ``doc_id``.
+
+    Near copies teach nothing new but would make all their words look like evidence.
+    Classes are those of :mod:`jaccard_join`: links are verified on whole shingle
+    sets.  Rows are told apart by a number, as a ``doc_id`` may have several texts.
+    """
+    found = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "labelled", tidy=True)
+    classes = jaccard_classes(found.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id")
+    about = found.select("row", "toxic", F.struct("doc_id", F.xxhash64("text").alias("h"), "row").alias("first")).join(classes, "row")
+    lone = about.groupBy("class_id", "toxic").agg(F.min("first")["row"].alias("row")).select("row")
+    kept = materialise(found.join(lone, "row", "left_semi").select("doc_id", "text", "toxic"), "training", tidy=True)
+    discard(found)
+    return kept
 
 
 def votes(column: pa.Array, lexicon: dict[int, int]) -> np.ndarray:

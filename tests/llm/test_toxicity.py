@@ -64,3 +64,15 @@ def test_edge_rows(spark):
 def test_scores_ignore_other_columns():
     model = X.ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -1.0, np.zeros(0), np.zeros(0))
     assert np.allclose(model.score(pa.array(["a", None, ""])), 1 / (1 + np.e))
+
+
+def test_only_verified_near_copies_are_dropped(spark):
+    r = random.Random(5)
+    ids = [i for i in range(400) if not X.held_out(i)][:120]
+    docs = [(i, "the same opening " + " ".join(f"w{r.randrange(10**6)}q" for _ in range(60))) for i in ids[:100]]
+    docs = [(i, t.translate(str.maketrans("0123456789", "abcdefghij"))) for i, t in docs]
+    copies = [(i, docs[k][1] + " end") for k, i in enumerate(ids[100:])]
+    labels = [(i, int(k % 3 == 0)) for k, i in enumerate(ids[:100])]
+    labels += [(i, t if k else 1 - t) for k, (i, (_, t)) in enumerate(zip(ids[100:], labels))]
+    rows = X.training_rows(spark.createDataFrame(docs + copies, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert sorted(x.doc_id for x in rows.collect()) == ids[:101]
