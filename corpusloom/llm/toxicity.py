@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-1. *Evidence* counts, over a bounded sample of labelled rows that may train
-   (``crc32(doc_id as text) mod 4`` is not 2), in how many documents each word and
-   each word beginning occurs, and in how many toxic ones.
+1. *Evidence* counts, over all labelled rows that may train (``crc32(doc_id as
+   text) mod 4`` is not 2; of verified near copies one), in how many documents each
+   word and each word beginning occurs, and in how many toxic ones.
 2. *Voters*: beginnings and words with clear evidence are dealt by hash into
    ``LEXICONS`` lexicons, a lexicon voting 1 if the text has one of its entries;
    a lexicon also votes on density.  Pattern voters look at the share of shouted
@@ -10,11 +10,13 @@
    1, 0 or abstains.
 3. *Label model*: a generative model of the votes given the hidden label.  Each
    voter has a coverage and an accuracy per label, fitted by expectation
-   maximisation on that sample that starts from its labels; voters whose votes stay correlated given the label are found
+   maximisation on the votes of all these rows, from sums over equal votes, that
+   starts from their labels; voters whose votes stay correlated given the label are found
    from the covariance of their residuals and share one vote's weight.
 4. *Classifier*: logistic regression over hashed words and word beginnings,
-   trained on the label model's posteriors; its bias is calibrated on the training
-   labels.  Scores use every word of a text.
+   trained on the label model's posteriors of a bounded sample; a feature that the
+   sample lacks weighs what its evidence says.  Its bias is calibrated on the labels
+   of all rows that may train.  Scores use every word of a text.
 
 Neither labels, languages, sources nor ``doc_id`` are inputs of a score.
 """
@@ -22,7 +24,7 @@ Neither labels, languages, sources nor ``doc_id`` are inputs of a score.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +38,10 @@ from corpusloom.llm.text_arrays import buffer_of, chunks, span_hashes, stream
 
 #: Sizes of word beginnings in bytes; 0 is the whole word.
 BEGINNINGS = (4, 5, 6, 7, 0)
-#: The most labelled rows that models are fitted on, the most evidence features kept, and lexicon voters.
+#: The most labelled rows that the classifier is fitted on, the most evidence features kept, and lexicon voters.
 MAX_SAMPLE, MAX_FEATURES, LEXICONS = 20_000, 50_000, 24
+#: More different votes than these are summed by Spark; margins are counted in steps of 1 / ``STEPS``.
+MAX_PATTERNS, STEPS = 20_000, 1024
 MIN_DOCS, MIN_SHARE, THRESHOLD = 6, 0.7, 0.3
 
 _LETTER = np.zeros(256, bool)
@@ -155,17 +159,15 @@ def evidence(labelled: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The bounded sample that models are fitted on: ``doc_id``, ``text``, ``toxic``.
+    """All labelled documents that may train: ``doc_id``, ``text``, ``toxic``.
 
-    At most ``MAX_SAMPLE`` labelled documents that may train, those with the least
-    hash of ``doc_id``; a document with several labels takes the largest.  The
-    sample's ids are broadcast: their number is bounded.  Near copies are dropped
-    by :func:`without_near_copies`.
+    A document with several labels takes the largest.  Near copies are dropped by
+    :func:`without_near_copies`.  Neither join here is by broadcast, as labels grow
+    with the documents.
     """
     mine = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, F.lit(False))
     kept = labels.where(mine & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    kept = kept.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(MAX_SAMPLE).select("doc_id", "toxic")
-    rows = docs.select("doc_id", text_of().alias("text")).where(mine).join(F.broadcast(kept), "doc_id")
+    rows = docs.select("doc_id", text_of().alias("text")).where(mine).join(kept.hint("merge"), "doc_id")
     return without_near_copies(rows.select("doc_id", "text", "toxic"))
 
 
@@ -180,7 +182,7 @@ def without_near_copies(rows: DataFrame) -> DataFrame:
     classes = jaccard_classes(found.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id")
     about = found.select("row", "toxic", F.struct("doc_id", F.xxhash64("text").alias("h"), "row").alias("first")).join(classes, "row")
     lone = about.groupBy("class_id", "toxic").agg(F.min("first")["row"].alias("row")).select("row")
-    kept = materialise(found.join(lone, "row", "left_semi").select("doc_id", "text", "toxic"), "training", tidy=True)
+    kept = materialise(found.join(lone.hint("merge"), "row", "left_semi").select("doc_id", "text", "toxic"), "training", tidy=True)
     discard(found)
     return kept
 
@@ -201,37 +203,101 @@ def votes(column: pa.Array, lexicon: dict[int, int]) -> np.ndarray:
     return np.concatenate([np.where(hits > 0, 1, -1), density, pattern_values(column)], 1).astype(np.int8)
 
 
-def label_model(given: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of label 1, per-voter probabilities (label x {abstain, 0, 1}), and correlations given the label.
+@dataclass(frozen=True)
+class LabelModel:
+    """Per-voter probabilities (label x {abstain, 0, 1}), weights, correlations given the label, and the share of label 1."""
+
+    tables: np.ndarray
+    weight: np.ndarray
+    correlations: np.ndarray
+    prior: float
+
+    def posterior(self, given: np.ndarray) -> np.ndarray:
+        ratio = (np.log(self.tables[:, 1]) - np.log(self.tables[:, 0])) * self.weight[:, None]
+        total = np.log(self.prior / (1 - self.prior)) + _states(given) @ ratio.ravel()
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def _states(given: np.ndarray) -> np.ndarray:
+    return np.stack([given == s for s in (-1, 0, 1)], 2).astype(np.float64).reshape(len(given), -1)
+
 
-    Expectation maximisation of the generative model from ``start``; each voter's
-    log-likelihood ratio is divided by the number of voters it moves with, which
-    the covariance of residual votes shows.
+#: Calls a function of (votes, start, number of rows) on the different votes, or on parts of them, and sums what it gives.
+Total = Callable[[Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
+
+
+def fit_labels(total: Total, voters: int, rounds: int = 25) -> LabelModel:
+    """Expectation maximisation of the generative model from ``start``, by sums alone.
+
+    Each voter's log-likelihood ratio is divided by the number of voters it moves
+    with, which the covariance of residual votes shows.
     """
-    n, k = given.shape
-    states = np.stack([given == s for s in (-1, 0, 1)], 2).astype(np.float64)
-    post = start.astype(np.float64).copy()
-    tables, weight, corr = np.full((k, 2, 3), 1 / 3), np.ones(k), np.eye(k)
+    k, model = voters, None
+    weight, corr = np.ones(k), np.eye(k)
     for step in range(rounds):
-        prior = float(np.clip(post.mean(), 1e-3, 1 - 1e-3))
-        for label, p in ((0, 1 - post), (1, post)):
-            tables[:, label] = (np.einsum("n,nks->ks", p, states) + [1.0, 0.5, 0.5]) / (p.sum() + 2)
-        expect = (1 - post)[:, None] * (tables[:, 0, 2] - tables[:, 0, 1]) + post[:, None] * (tables[:, 1, 2] - tables[:, 1, 1])
+
+        def counts(given, start, n, model=model):
+            post = start if model is None else model.posterior(given)
+            states = _states(given)
+            return np.concatenate([*((p * n) @ states for p in (1 - post, post)), [((1 - post) * n).sum(), (post * n).sum()]])
+
+        sums = total(counts)
+        size = sums[-2:]
+        seen = sums[:-2].reshape(2, k, 3).transpose(1, 0, 2)
+        tables = (seen + [1.0, 0.5, 0.5]) / (size[None, :, None] + 2)
         if not step:  # under the labels' posterior: later ones already follow voters that agree
-            rest = states[:, :, 2] - states[:, :, 1] - expect
-            spread = np.maximum(rest.std(0), 1e-6)
-            corr = rest.T @ rest / n / np.outer(spread, spread)
+            means = tables[:, :, 2] - tables[:, :, 1]
+
+            def moments(given, start, n, means=means):
+                rest = given.astype(np.float64)
+                rest = (rest == 1).astype(np.float64) - (rest == 0) - np.stack([1 - start, start], 1) @ means.T
+                return np.concatenate([n @ rest, ((rest.T * n) @ rest).ravel()])
+
+            found = total(moments) / size.sum()
+            both = found[k:].reshape(k, k)
+            spread = np.maximum(np.sqrt(np.maximum(np.diag(both) - found[:k] ** 2, 0)), 1e-6)
+            corr = both / np.outer(spread, spread)
             weight = 1 / np.maximum(1, (np.clip(corr, 0, 1) ** 2).sum(1))
-        ratio = np.log(tables[:, 1]) - np.log(tables[:, 0])
-        total = np.log(prior / (1 - prior)) + np.einsum("nks,ks,k->n", states, ratio, weight)
-        post = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-    return post, tables, corr
+        model = LabelModel(tables, weight, corr, float(np.clip(size[1] / size.sum(), 1e-3, 1 - 1e-3)))
+    return model
+
+
+def label_model(given: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors of label 1, per-voter probabilities and correlations of votes that are all at hand: see :func:`fit_labels`."""
+    model = fit_labels(lambda step: step(given, start.astype(np.float64), np.ones(len(given))), given.shape[1], rounds)
+    return model.posterior(given), model.tables, model.correlations
+
+
+def _vote_totals(voted: DataFrame) -> Total:
+    """Sums over all rows' votes: here if few votes differ, else by Spark."""
+    patterns = materialise(voted.groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")), "votes")
+
+    def arrays(votes, toxic, n):
+        return np.frombuffer(b"".join(votes), np.int8).reshape(len(n), -1), np.where(np.asarray(toxic) == 1, 0.9, 0.05), np.asarray(n, np.float64)
+
+    if patterns.count() <= MAX_PATTERNS:
+        held = patterns.toPandas().sort_values(["votes", "toxic"])
+        few = arrays(held["votes"], held["toxic"], held["n"])
+        return lambda step: step(*few)
+
+    def total(step):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = 0
+            for batch in batches:
+                if batch.num_rows:
+                    sums = sums + step(*arrays(*(batch.column(c).to_pylist() for c in ("votes", "toxic", "n"))))
+            if isinstance(sums, np.ndarray):
+                yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<f8").tobytes()])], names=["sums"])
+
+        return np.sum([np.frombuffer(r["sums"], "<f8") for r in patterns.mapInArrow(run, "sums binary").collect()], 0)
+
+    return total
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Fit voters, label model and classifier on :func:`training_rows` and its ``MAX_FEATURES`` features with the strongest evidence.
+    """Fit voters, label model and threshold on all :func:`training_rows`, the classifier on a sample of them.
 
-    With no labelled rows every text scores the same.
+    Features are the ``MAX_FEATURES`` with the strongest evidence.  With no labelled rows every text scores the same.
     """
     rows = training_rows(docs, labels)
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
@@ -245,14 +311,29 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     best = clear.orderBy(F.desc("gain"), "feature").limit(MAX_FEATURES).toPandas()
     keys = best["feature"].to_numpy(np.int64).view(np.uint64)
     lexicon = {int(k): i % LEXICONS for i, k in enumerate(keys)}
-    voted = rows.mapInArrow(_voted(lexicon), "toxic int, votes binary, features binary").toPandas()
-    given = np.stack([np.frombuffer(v, np.int8) for v in voted["votes"]])
-    toxic = voted["toxic"].to_numpy(np.int64)
-    post, tables, corr = label_model(given, np.where(toxic == 1, 0.9, 0.05))
-    flip = np.corrcoef(post, toxic)[0, 1] if post.std() > 1e-9 and toxic.std() > 0 else 1.0
-    if flip < 0:
+    voted = materialise(rows.mapInArrow(_voted(lexicon), "doc_id bigint, toxic int, votes binary, features binary"), "voted")
+    total = _vote_totals(voted)
+    model = fit_labels(total, LEXICONS + 2 + len(PATTERNS))
+
+    def together(given, start, n):
+        post = model.posterior(given)
+        return np.array([n.sum(), (n * post).sum(), (n * start).sum(), (n * post * start).sum()])
+
+    size, posts, starts, products = total(together)
+    sample = voted
+    if n > MAX_SAMPLE:  # a little less than MAX_SAMPLE, as the number of hashes below a bound varies
+        sample = voted.where(F.pmod(F.xxhash64("doc_id", "votes", "features"), F.lit(1 << 20)) < int(0.95 * MAX_SAMPLE / n * (1 << 20)))
+    sample = sample.toPandas().sort_values(["doc_id", "votes", "features"])
+    post = model.posterior(np.stack([np.frombuffer(v, np.int8) for v in sample["votes"]]))
+    if products / size - posts * starts / size**2 < -1e-12:
         post = 1 - post
-    return _classifier(voted["features"], keys, np.clip(post, 0.01, 0.99), toxic, tables[:, 1, 2], corr)
+    order = np.argsort(keys)
+    keys = keys[order]
+    odds = np.log((best["n_toxic"] + 0.5) / (best["n"] - best["n_toxic"] + 0.5)).to_numpy(np.float64)[order]
+    w, bias = _classifier(sample["features"], keys, np.clip(post, 0.01, 0.99), odds)
+    seen = _margins(voted, keys, w, bias).toPandas().sort_values(["margin", "toxic"])
+    bias += np.log(THRESHOLD / (1 - THRESHOLD)) - cutoff(seen["margin"].to_numpy() / STEPS, seen["toxic"].to_numpy(), seen["n"].to_numpy())
+    return ToxicityModel(keys, w, float(bias), model.tables[:, 1, 2], model.correlations)
 
 
 def _voted(lexicon: dict[int, int]):
@@ -267,30 +348,41 @@ def _voted(lexicon: dict[int, int]):
                 d, h = d[hit], h[hit]
                 bounds = np.searchsorted(d, np.arange(part.num_rows + 1))
                 rows = [h[a:b].astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([g.tobytes() for g in given], pa.binary()), pa.array(rows, pa.binary())], names=["toxic", "votes", "features"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([g.tobytes() for g in given], pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "votes", "features"])
 
     return run
 
 
-def cutoff(margin: np.ndarray, toxic: np.ndarray) -> float:
-    """The margin that parts the labels with least balanced error; the middle of the gap, if several do."""
+def _margins(voted: DataFrame, keys: np.ndarray, w: np.ndarray, bias: float) -> DataFrame:
+    """How many rows of each label have each margin, in steps of 1 / ``STEPS``: ``margin``, ``toxic``, ``n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [w[np.searchsorted(keys, np.frombuffer(f, "<u8"))].sum() for f in batch.column("features").to_pylist()]
+            steps = np.rint(np.clip(np.array(sums, np.float64) + bias, -64, 64) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(steps), batch.column("toxic")], names=["margin", "toxic"])
+
+    found = voted.select("toxic", "features").mapInArrow(run, "margin bigint, toxic int")
+    return found.groupBy("margin", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cutoff(margin: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> float:
+    """The margin that parts the labels of ``n`` rows each with least balanced error; the middle of the gap, if several do."""
     order = np.argsort(margin, kind="stable")
-    m, t = margin[order], toxic[order] == 1
+    m, t, n = margin[order], toxic[order] == 1, n[order]
     if t.all() or not t.any():
         return float(m[-1] + 1 if not t.any() else m[0] - 1)
-    missed, raised = np.cumsum(t) / t.sum(), 1 - np.cumsum(~t) / (~t).sum()
+    missed, raised = np.cumsum(t * n) / (t * n).sum(), 1 - np.cumsum(~t * n) / (~t * n).sum()
     error = np.where(np.append(m[1:] > m[:-1], False), missed + raised, np.inf)
     at = int(error.argmin())
     return float((m[at] + m[at + 1]) / 2) if np.isfinite(error[at]) else float(m.mean())
 
 
-def _classifier(features, keys: np.ndarray, target: np.ndarray, toxic: np.ndarray, accuracies: np.ndarray, correlations: np.ndarray, steps: int = 1000) -> ToxicityModel:
-    """Logistic regression on posteriors, by full-batch AdaGrad with a ridge.
+def _classifier(features, keys: np.ndarray, target: np.ndarray, odds: np.ndarray, steps: int = 1000) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on posteriors, by full-batch AdaGrad with a ridge.
 
-    The bias is then set so that the margin that best parts the training labels scores ``THRESHOLD``.
+    A feature that no row has gets the weight with which a text that has it alone scores its log ``odds``.
     """
-    order = np.argsort(keys)
-    keys = keys[order]
     row, column = [], []
     for i, f in enumerate(features):
         at = np.searchsorted(keys, np.frombuffer(f, "<u8"))
@@ -308,9 +400,9 @@ def _classifier(features, keys: np.ndarray, target: np.ndarray, toxic: np.ndarra
         gb = rest.mean()
         square_bias += gb * gb
         bias += 0.1 * gb / np.sqrt(square_bias)
-    margin = np.bincount(row, w[column], n) + bias
-    bias += np.log(THRESHOLD / (1 - THRESHOLD)) - cutoff(margin, toxic)
-    return ToxicityModel(keys, w, float(bias), accuracies, correlations)
+    unseen = np.bincount(column, minlength=len(keys)) == 0
+    w[unseen] = odds[unseen] - bias
+    return w, float(bias)
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", output: str = "toxicity") -> DataFrame:

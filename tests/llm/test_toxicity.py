@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from corpusloom.llm import toxicity as X
 
@@ -76,3 +77,21 @@ def test_only_verified_near_copies_are_dropped(spark):
     labels += [(i, t if k else 1 - t) for k, (i, (_, t)) in enumerate(zip(ids[100:], labels))]
     rows = X.training_rows(spark.createDataFrame(docs + copies, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert sorted(x.doc_id for x in rows.collect()) == ids[:101]
+
+
+def test_all_labels_count_though_the_classifier_is_fitted_on_a_sample(spark, monkeypatch):
+    docs, labels = corpus(900)
+    clean = [t for (_, t), (_, toxic) in zip(docs, labels) if not toxic]
+    late = [r.id for r in spark.range(900, 3000).orderBy(F.xxhash64("id").desc()).limit(60).collect() if not X.held_out(r.id)]
+    rare = [(i, t + " zorbikux") for i, t in zip(late[:30], clean[-30:])]
+    d = spark.createDataFrame(docs + rare, "doc_id long, text string")
+    given = spark.createDataFrame(labels + [(i, 1) for i, _ in rare], "doc_id long, toxic int")
+    monkeypatch.setattr(X, "MAX_SAMPLE", 100)
+    model = X.train(d, given)
+    clean = clean[:50]
+    assert (model.score(pa.array([t + " zorbikux" for t in clean])) >= X.THRESHOLD).all()
+    assert (model.score(pa.array(clean)) < X.THRESHOLD).mean() > 0.9
+    monkeypatch.setattr(X, "MAX_PATTERNS", 0)
+    summed = X.train(d, given)
+    assert np.array_equal(model.keys, summed.keys) and np.allclose(model.accuracies, summed.accuracies) and np.allclose(model.correlations, summed.correlations)
+    assert np.allclose(model.weights, summed.weights, atol=1e-4)
