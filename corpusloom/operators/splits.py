@@ -64,13 +64,15 @@ def remove_leaks(df: DataFrame, source_hash: str, target_hash: str, split: str =
 
 
 def split_stats(df: DataFrame, split: str, group: str, chars: str, row_id: str, head: int = 10) -> DataFrame:
-    """Per split: rows, distinct groups, characters, and the first ids.
+    """Per split: rows, distinct groups, characters, the least and greatest id, and ``ids``, the first ``head`` ids in order.
 
     The ids come from a ranked selection, so no split's ids are gathered in one place.
     """
     sums = df.groupBy(split).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(group).alias("groups"), F.sum(chars).alias("chars"))
     first = df.groupBy(split).agg(F.min(row_id).alias("first_id"), F.max(row_id).alias("last_id"))
-    return sums.join(first, split)
+    ranked = df.select(split, row_id).withColumn("__rank", F.row_number().over(Window.partitionBy(split).orderBy(row_id)))
+    ids = ranked.where(F.col("__rank") <= head).groupBy(split).agg(F.sort_array(F.collect_list(row_id)).alias("ids"))
+    return sums.join(first, split).join(ids, split)
 
 
 def holdout(df: DataFrame, doc: str, ratio: float, seed: int = 42) -> DataFrame:

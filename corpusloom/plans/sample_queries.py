@@ -48,7 +48,7 @@ def l02_leak_free_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_GROUP_SPLIT} SELECT split, count(*) AS rows, count(DISTINCT source) AS groups, sum(n_chars)::BIGINT AS chars, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents JOIN s USING (source) GROUP BY split")
 def a11_split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.split_stats(_grouped(spark, sf_dir), "split", "source", "n_chars", "doc_id")
+    return splits.split_stats(_grouped(spark, sf_dir), "split", "source", "n_chars", "doc_id").drop("ids")
 
 
 @query(f"WITH {_KEYED} SELECT doc_id, CASE WHEN n < floor(total * 0.3) THEN 'val' ELSE 'train' END AS split FROM documents JOIN r USING (source)")
