@@ -13,33 +13,40 @@ pairs as rows:
    time.  Under a uniform prior, the similarity's posterior after ``m`` of ``n``
    agreements is Beta(m + 1, n - m + 1); a pair is dropped as soon as the
    probability of reaching the threshold is below ``TOLERANCE``.  Survivors join
-   members to families (connected components); a group reports a spanning forest,
-   never its pairs.
-4. *Exact verification*: all pairs inside a family are compared on whole shingle
-   sets, by integer arithmetic.  Results are counts of links per member, and
-   again spanning forests, whose components are the classes.
-
-A group or family of more than ``BLOCK`` members is split into blocks, and the
-work into pairs of blocks of bounded size, so that no task holds a large group.
+   members to families (connected components), inside which links are counted.
+4. *Exact verification*: the pairs of a family that pruning keeps are compared on
+   whole shingle sets, by integer arithmetic.  Results are one number of links per
+   member, and spanning forests, whose components are the classes.
+
+Groups and families are dealt by hash into blocks of about ``BLOCK`` members (fewer
+if these are long).  Each block is first compared with itself.  Only where a group's
+blocks are not yet connected, or links between blocks are to be counted, do blocks
+meet, as one row each; a block's task then reads the others one after the other.
+What a task writes is bounded by the members of its own block, so rows grow in
+proportion to members, also in one large group.  The *comparisons* of different near
+copies in one family still grow with its square: the number of links asks for them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialise, require, text_of
-from corpusloom.llm.graph import components
+from corpusloom.llm.graph import components, lookup
 from corpusloom.llm.text_arrays import buffer_of, chunks, mix, span_hashes, stream, window_hashes, word_hashes, words
 
 SHINGLE, ROWS, BANDS, STEP = 5, 6, 32, 32
-TOLERANCE, BLOCK = 1e-5, 96
+TOLERANCE = 1e-5
+#: Members of a block, and distinct shingles of a block of long texts.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 #: The threshold 0.8 as a fraction.
 THRESHOLD = (4, 5)
 
@@ -63,6 +70,22 @@ def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return found, np.searchsorted(at, first)
 
 
+def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text in order, end to end, and where each text's begin (one more entry)."""
+    hashes, first = shingles(column)
+    owner = np.repeat(np.arange(len(column)), np.diff(first))
+    order = np.lexsort((hashes, owner))
+    h, o = hashes[order], owner[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    return h[keep], np.searchsorted(o[keep], np.arange(len(column) + 1))
+
+
+def set_hashes(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, none of them empty."""
+    return tuple(np.add.reduceat(mix(sets ^ np.uint64(s)), bounds[:-1]).view(np.int64) for s in (0x51ED, 0xA2F7))
+
+
 @lru_cache(maxsize=1)
 def _permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
     x = stream(31, 2 * k)
@@ -83,36 +106,30 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, k: int = ROWS * BANDS) ->
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, ``set_a``/``set_b`` (128-bit hash of the shingle set), ``bands`` (keys) and ``sig`` (16 bits a value); nulls without shingles."""
+    """Per document: ``doc_id``, ``set_a``/``set_b`` (128-bit hash of the shingle set), ``size`` of the set, ``bands`` (keys) and ``sig`` (16 bits a value); nulls without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                hashes, first = shingles(part.column("text"))
                 n = part.num_rows
+                h, first = shingle_sets(part.column("text"))
                 some = np.flatnonzero(np.diff(first) > 0)
-                owner = np.repeat(np.arange(n), np.diff(first))
-                order = np.lexsort((hashes, owner))
-                h, o = hashes[order], owner[order]
-                keep = np.ones(len(h), bool)
-                keep[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-                h, o = h[keep], o[keep]
-                bounds = np.searchsorted(o, np.append(some, n)) if len(some) else np.zeros(1, np.int64)
-                columns = [[None] * n for _ in range(4)]
+                columns = [[None] * n for _ in range(5)]
                 if len(some):
-                    sums = [np.add.reduceat(mix(h ^ np.uint64(s)), bounds[:-1]) for s in (0x51ED, 0xA2F7)]
+                    bounds = np.append(first[some], len(h))
+                    sums = set_hashes(h, bounds)
                     sig = signatures(h, bounds)
                     at = np.arange(len(some) * BANDS) * ROWS
                     keys = span_hashes(sig.astype(np.uint64).ravel(), at, at + ROWS, 3).reshape(-1, BANDS)
                     for i, at in enumerate(some.tolist()):
-                        columns[0][at], columns[1][at] = int(sums[0][i].view(np.int64)), int(sums[1][i].view(np.int64))
-                        columns[2][at] = keys[i].view(np.int64)
-                        columns[3][at] = (sig[i] & np.uint32(0xFFFF)).astype("<u2").tobytes()
-                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", "set_a", "set_b", "bands", "sig"])
+                        columns[0][at], columns[1][at], columns[2][at] = int(sums[0][i]), int(sums[1][i]), int(bounds[i + 1] - bounds[i])
+                        columns[3][at] = keys[i].view(np.int64)
+                        columns[4][at] = (sig[i] & np.uint32(0xFFFF)).astype("<u2").tobytes()
+                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", "set_a", "set_b", "size", "bands", "sig"])
 
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return given.mapInArrow(run, "doc_id bigint, set_a bigint, set_b bigint, bands array<bigint>, sig binary")
+    return given.mapInArrow(run, "doc_id bigint, set_a bigint, set_b bigint, size bigint, bands array<bigint>, sig binary")
 
 
 @lru_cache(maxsize=8)
@@ -145,24 +162,30 @@ def pruned_pairs(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray,
     return i, j
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a graph on 0..n-1."""
-    parent, kept = list(range(n)), []
+class Forest:
+    """Trees over any numbers; keeps the edges that join two of them."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
             x = parent[x]
         return x
 
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        p, q = find(x), find(y)
+    def join(self, x: int, y: int) -> bool:
+        p, q = self.find(x), self.find(y)
         if p != q:
-            parent[max(p, q)] = min(p, q)
-            kept.append((x, y))
-            if len(kept) == n - 1:
-                break
-    return kept
+            self.parent[max(p, q)] = min(p, q)
+        return p != q
+
+
+def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the edges ``ids[i]`` - ``ids[j]``."""
+    trees = Forest()
+    return [(x, y) for x, y in zip(ids[i].tolist(), ids[j].tolist(), strict=True) if trees.join(x, y)]
 
 
 def by_group(df: DataFrame, key: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -195,32 +218,61 @@ def by_group(df: DataFrame, key: list[str], work: Callable[[pa.Table], Iterator[
     return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
 
-def in_blocks(df: DataFrame, size: str, member: str, block: int = BLOCK) -> DataFrame:
-    """Deal the members of each group into pairs of blocks: adds ``low``, ``high`` and ``own`` (the row's block).
+def block_of(member: str, blocks: str, *salt: str) -> Column:
+    """The block, from 0, of a member."""
+    return F.pmod(F.xxhash64(member, *salt), F.col(blocks)).cast("int")
 
-    A group of up to ``block`` members has one pair of blocks (0, 0) and each member once.
-    """
-    count = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(member), count).cast("int")
-    dealt = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    return dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+
+def _edges(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        a, b = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _matrix(sig: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    rows = sig.to_pylist()
+    return np.frombuffer(b"".join(rows), "<u2").reshape(len(rows), -1)
 
 
 def _survivors(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the pairs inside a block that pruning keeps."""
     ids = group.column("member").to_numpy()
-    if len(ids) < 2:
-        return
-    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(len(ids), -1)
-    low, high, own = (group.column(c).to_numpy() for c in ("low", "high", "own"))
-    if low[0] == high[0]:
-        left = right = np.arange(len(ids))
-    else:
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-    i, j = pruned_pairs(sig[left], sig[right], low[0] == high[0])
-    edges = forest(len(ids), left[i], right[j])
-    if edges:
-        a, b = np.array(edges).T
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+    if len(ids) > 1:
+        sig = _matrix(group.column("sig"))
+        yield from _edges(forest(ids, *pruned_pairs(sig, sig, True)))
+
+
+def _survivors_between(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One edge for each two components that a pair of blocks connects; a block is one row."""
+    if group.num_rows == 2:
+        (x, sig_x), (y, sig_y) = ((r.values.field("component").to_numpy(), _matrix(r.values.field("sig"))) for r in group.column("members"))
+        i, j = pruned_pairs(sig_x, sig_y, False)
+        trees = Forest()
+        apart = x[i] != y[j]
+        pairs = np.unique(np.stack([x[i][apart], y[j][apart]], 1), axis=0)
+        yield from _edges([(a, b) for a, b in pairs.tolist() if trees.join(a, b)])
+
+
+def _families(met: DataFrame) -> DataFrame:
+    """``node`` and ``component`` of members that survivors connect; ``met`` has (band, key, blocks, member, sig), a row a member and group."""
+    dealt = met.withColumn("own", block_of("member", "blocks", "band", "key"))
+    edges = by_group(dealt, ["band", "key", "own"], _survivors, "a bigint, b bigint")
+    found = components(edges, "families")
+    large = dealt.where("blocks > 1")
+    if large.isEmpty():
+        return found
+    known = large.join(found, large["member"] == found["node"], "left").withColumn("component", F.coalesce("component", "member"))
+    known = materialise(known.select("band", "key", "blocks", "own", "member", "component", "sig"), "large-groups")
+    open_groups = known.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
+    left = known.join(open_groups, ["band", "key"])
+    packed = left.groupBy("band", "key", "blocks", "own").agg(F.collect_list(F.struct("component", "sig")).alias("members"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other")
+    pairs = packed.select("band", "key", "own", "members", other).where("own <> other").select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "members")
+    between = by_group(pairs, ["band", "key", "low", "high"], _survivors_between, "a bigint, b bigint")
+    between = materialise(between, "between")
+    if between.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(between), "joined-families")
 
 
 def intersections(values: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -235,7 +287,7 @@ def intersections(values: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
     total = np.zeros((len(left), len(right)), np.int64)
-    width = 4096
+    width = 2048
     for start in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(code, (start, start + width))
         grid = np.zeros((len(values), width), np.float32)
@@ -244,36 +296,153 @@ def intersections(values: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return total
 
 
-def _links(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    ids, weight = group.column("member").to_numpy(), group.column("copies").to_numpy()
-    if len(ids) < 2:
-        return
-    low, high, own = (group.column(c).to_numpy() for c in ("low", "high", "own"))
-    texts = group.column("text").combine_chunks()
-    hashes, first = shingles(texts)
-    sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-    one = low[0] == high[0]
-    left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(own == low), np.flatnonzero(own == high))
-    if not len(left) or not len(right):
-        return
-    sizes = np.array([len(s) for s in sets])
-    both = intersections(sets, left, right)
-    union = sizes[left][:, None] + sizes[right][None, :] - both
-    linked = THRESHOLD[1] * both >= THRESHOLD[0] * union
-    if one:
-        np.fill_diagonal(linked, False)
-    counts = np.zeros(len(ids), np.int64)
-    counts[left] += linked @ weight[right]
-    if not one:
-        counts[right] += linked.T @ weight[left]
-    i, j = np.nonzero(np.triu(linked) if one else linked)
-    edges = forest(len(ids), left[i], right[j])
-    some = np.flatnonzero(counts)
-    a = [*ids[some], *(ids[x] for x, _ in edges)]
-    b = [*[None] * len(some), *(ids[y] for _, y in edges)]
-    n = [*counts[some], *[0] * len(edges)]
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+@dataclass(frozen=True)
+class Block:
+    """Members with their numbers of copies, signatures and shingle sets, each once, and labels of what is connected."""
+
+    ids: np.ndarray
+    copies: np.ndarray
+    sig: np.ndarray
+    sets: list[np.ndarray]
+    labels: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table | pa.StructArray) -> Block:
+        column = rows.column if isinstance(rows, pa.Table) else rows.field
+        ids = column("member").to_numpy()
+        _, at = np.unique(ids, return_index=True)  # repeated rows of one doc_id
+        sets = column("shingles").to_pylist()
+        labels = column("label").to_numpy()[at] if not isinstance(rows, pa.Table) else ids[at]
+        return Block(ids[at], column("copies").to_numpy()[at], _matrix(column("sig"))[at], [np.frombuffer(sets[i], "<u8") for i in at.tolist()], labels)
+
+    def linked(self, other: Block) -> np.ndarray:
+        """Own x other: whether pruning keeps the pair and its whole sets reach the threshold."""
+        alive = np.zeros((len(self.ids), len(other.ids)), bool)
+        i, j = pruned_pairs(self.sig, other.sig, other is self)
+        alive[i, j] = True
+        if other is self:
+            alive |= alive.T
+        left, right = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+        if len(left):
+            sets = [*(self.sets[x] for x in left.tolist()), *(other.sets[y] for y in right.tolist())]
+            both = intersections(sets, np.arange(len(left)), np.arange(len(left), len(sets)))
+            size = np.array([len(s) for s in sets])
+            union = size[: len(left), None] + size[None, len(left) :] - both
+            alive[np.ix_(left, right)] &= THRESHOLD[1] * both >= THRESHOLD[0] * union
+        return alive
+
+
+_FOUND = "a bigint, b bigint, n bigint, family bigint"
+
+
+def _found(family: int, counts: list[tuple[int, int]], edges: list[tuple[int, int]], more: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (member, null, links), (a, b, 0), and one of nulls if the family has edges that were not written."""
+    rows = [*((a, None, n) for a, n in counts), *((a, b, 0) for a, b in edges), *([(None, None, 0)] if more else [])]
+    if rows:
+        columns = zip(*((*r, family) for r in rows), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n", "family"])
+
+
+def _links_inside(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links of a block's members to each other, and a spanning forest of these."""
+    block = Block.of(group)
+    if len(block.ids) > 1:
+        linked = block.linked(block)
+        n = linked @ block.copies
+        some = np.flatnonzero(n)
+        counts = zip(block.ids[some].tolist(), n[some].tolist(), strict=True)
+        yield from _found(int(group.column("family")[0].as_py()), list(counts), forest(block.ids, *np.nonzero(np.triu(linked))))
+
+
+def _links_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each block's members to those of its family's other blocks.
+
+    A row is a block; rows are sorted by (family, task), the task's own block first.
+    Edges connect labels, two for each member of the own block at the most; if
+    there are more to write, the family comes again with new labels.
+    """
+    at, own, counts, edges, trees, more = None, None, None, [], Forest(), False
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if own is not None:
+            some = np.flatnonzero(counts)
+            yield from _found(at[0], list(zip(own.ids[some].tolist(), counts[some].tolist(), strict=True)), edges, more)
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            key = (batch.column("family")[k].as_py(), batch.column("task")[k].as_py())
+            if key != at:
+                yield from close()
+                at, own = key, None
+                if batch.column("rank")[k].as_py() < 0:
+                    own = Block.of(batch.column("members")[k].values)
+                    counts, edges, trees, more = np.zeros(len(own.ids), np.int64), [], Forest(), False
+                continue
+            if own is None:  # a block without members
+                continue
+            block = Block.of(batch.column("members")[k].values)
+            linked = own.linked(block)
+            counts += linked @ block.copies
+            i, j = np.nonzero(linked & (own.labels[:, None] != block.labels[None, :]))
+            # The first link of each label, then the others.
+            _, first = np.unique(own.labels[i], return_index=True)
+            order = np.concatenate([first, np.setdiff1d(np.arange(len(i)), first)])
+            for a, b in zip(own.labels[i[order]].tolist(), block.labels[j[order]].tolist(), strict=True):
+                if len(edges) >= 2 * len(own.ids):
+                    more = more or trees.find(a) != trees.find(b)
+                    if more:
+                        break
+                elif trees.join(a, b):
+                    edges.append((a, b))
+    yield from close()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingle sets of texts, without rows whose text is not the member's own (of several of one doc_id) and repeats that follow each other."""
+    last = None
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            h, first = shingle_sets(part.column("text"))
+            some = np.flatnonzero(np.diff(first) > 0)
+            if not len(some):
+                continue
+            one, two = set_hashes(h, np.append(first[some], len(h)))
+            some = some[(part.column("set_a").to_numpy()[some] == one) & (part.column("set_b").to_numpy()[some] == two)]
+            member = part.column("member").to_numpy()[some]
+            fresh = np.ones(len(some), bool)
+            fresh[1:] = member[1:] != member[:-1]
+            if len(some):
+                fresh[0], last = member[0] != last, member[-1]
+            some = some[fresh]
+            taken = part.take(pa.array(some))
+            sets = pa.array([h[first[i] : first[i + 1]].astype("<u8").tobytes() for i in some.tolist()], pa.binary())
+            names = ["family", "blocks", "own", "member", "copies", "sig"]
+            yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in names), sets], names=[*names, "shingles"])
+
+
+def _links(held: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``n``: (member, null, links) and edges (a, b, 0) whose components are the classes."""
+    inside = materialise(by_group(held, ["family", "own"], _links_inside, _FOUND), "links-inside")
+    large = held.where("blocks > 1")
+    if large.isEmpty():
+        return inside
+    found, again = inside, None
+    while True:
+        labels = components(found.where("b IS NOT NULL").select("a", "b"), "blocks")
+        known = large.join(labels, large["member"] == labels["node"], "left").withColumn("label", F.coalesce("component", "member"))
+        if again is not None:
+            known = lookup(known, "family", again, "family").where("again")
+        members = F.collect_list(F.struct("member", "copies", "sig", "shingles", "label")).alias("members")
+        packed = known.groupBy("family", "blocks", "own").agg(members)
+        tasks = packed.select("family", "own", "members", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("task"))
+        tasks = tasks.withColumn("rank", F.when(F.col("own") == F.col("task"), -1).otherwise(F.col("own")))
+        between = tasks.repartition("family", "task").sortWithinPartitions("family", "task", "rank").mapInArrow(_links_between, _FOUND)
+        between = materialise(between, "links-between")
+        kept = between if again is None else between.where("b IS NOT NULL OR a IS NULL")  # links were counted the first time
+        found = found.unionByName(kept.where("a IS NOT NULL"))
+        again = materialise(between.where("a IS NULL").select("family", F.lit(True).alias("again")).distinct(), "again")
+        if again.isEmpty():
+            return found
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -286,42 +455,42 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     * Null or wordless texts have no shingles, link to nothing and form their own class.
     * A text with one to four words has one shingle, its words.
     * Texts are used whole.  Repeated rows (also with one ``doc_id``) are rows of their own and link to each other.
-    * Rows of one ``doc_id`` with different texts are one document; its links are those of one of the texts.
+      So do rows of one ``doc_id`` with different texts, which may then have different classes.
     * A row with a null ``doc_id`` counts nowhere and keeps null as its class, with no links.
     * Other columns are not read, so none can clash.  Empty input: empty result.
     """
     require(docs, "doc_id", "text")
-    sketched = materialise(sketch(docs), "sketch")
+    # Rows are numbered where they are written; a member's number is the least of its rows'.
+    sketched = materialise(sketch(docs).withColumn("row", F.monotonically_increasing_id()), "sketch")
     keys = ["set_a", "set_b"]
     whole = sketched.where("doc_id IS NOT NULL AND set_a IS NOT NULL")
-    members = whole.groupBy(*keys).agg(F.min("doc_id").alias("member"), F.count(F.lit(1)).alias("copies"))
+    members = whole.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.min("row").alias("member"), F.count(F.lit(1)).alias("copies"))
     members = materialise(members, "members")
-    # One row of each member: the one with its doc_id (equal rows have equal signatures).
-    chosen = members.join(sketched, (members["member"] == sketched["doc_id"]) & (members["set_a"] == sketched["set_a"]) & (members["set_b"] == sketched["set_b"]))
-    chosen = chosen.select("member", "bands", "sig")
+    # One row of each member (equal sets have equal signatures).
+    chosen = members.join(sketched.select(F.col("row").alias("member"), "size", "bands", "sig"), "member")
     keyed = chosen.select("member", F.posexplode("bands").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = sizes.select("band", "key", F.ceil(F.col("n") / F.lit(BLOCK)).alias("blocks"))
     met = materialise(keyed.join(sizes, ["band", "key"]), "met")
-    groups = met.join(chosen.select("member", "sig"), "member")
-    edges = by_group(in_blocks(groups, "size", "member"), ["band", "key", "low", "high"], _survivors, "a bigint, b bigint")
-    families = components(edges, "families")
-    families = families.join(families.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
-    copies = members.select("member", "copies")
-    sized = families.select(F.col("node").alias("member"), F.col("component").alias("family"), "size").join(copies, "member")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("member"), text_of().alias("text"))
-    held = in_blocks(sized.join(texts, "member"), "size", "member")
-    found = by_group(held, ["family", "low", "high"], _links_once, "a bigint, b bigint, n bigint")
-    found = materialise(found, "links")
+    families = _families(met.join(chosen.select("member", "sig"), "member"))
+    placed = families.withColumnRenamed("node", "member").withColumnRenamed("component", "family").join(chosen.drop("bands"), "member")
+    placed = materialise(placed, "placed")
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES)))
+    large = materialise(placed.groupBy("family").agg(need.alias("blocks")).where("blocks > 1"), "large")
+    placed = lookup(placed, "family", large, "family").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
+    placed = placed.withColumn("own", block_of("member", "blocks"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("least"), text_of().alias("text"))
+    columns = "family bigint, blocks bigint, own int, member bigint, copies bigint, sig binary, shingles binary"
+    held = materialise(placed.join(texts, "least").mapInArrow(_sets, columns), "held")
+    found = _links(held)
     classes = components(found.where("b IS NOT NULL").select("a", "b"), "classes")
+    least = classes.join(members.select(F.col("member").alias("node"), "least"), "node")
+    least = materialise(least, "least")
+    named = materialise(least.groupBy("component").agg(F.min("least").alias("class_id")), "named")
+    classes = lookup(least, "component", named, "component").select("node", "class_id")
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
     about = members.join(classes, members["member"] == classes["node"], "left").join(links, members["member"] == links["a"], "left")
-    about = about.select(*keys, F.coalesce("component", "member").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    rows = sketched.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_a")).alias("set_a"), "set_b")
-    return rows.join(about, keys, "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
-
-
-def _links_once(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    """As ``_links``; a member that comes more than once (repeated rows of one doc_id) counts once."""
-    ids = group.column("member").to_numpy()
-    _, at = np.unique(ids, return_index=True)
-    yield from _links(group.take(np.sort(at)) if len(at) < len(ids) else group)
+    about = about.select(*keys, F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    with_words = whole.select("doc_id", *keys).join(about, keys).select("doc_id", "class_id", "n_links")
+    rest = sketched.where("doc_id IS NULL OR set_a IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return with_words.unionByName(rest)

@@ -63,10 +63,74 @@ def test_large_groups_are_split_into_blocks(spark, monkeypatch):
         text = list(base)
         text[r.randrange(80)] = "x%d" % d
         rows.append((d, " ".join(text)))
-    plain = J.in_blocks
-    monkeypatch.setattr(J, "in_blocks", lambda df, size, member, block=8: plain(df, size, member, 8))
+    # A star: leaves that are near the centre and far from each other.
+    centre = ["c%d" % i for i in range(120)]
+    rows.append((100, " ".join(centre)))
+    for d in range(20):
+        rows.append((101 + d, " ".join([*centre[: 5 * d], *("y%d-%d" % (d, i) for i in range(3)), *centre[5 * d :], "z%d" % d])))
+    monkeypatch.setattr(J, "BLOCK", 8)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((x.doc_id, x.class_id, x.n_links) for x in J.jaccard_classes(df).collect()) == brute(rows)
+    monkeypatch.setattr(J, "BLOCK", 512)
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 500)
+    assert sorted((x.doc_id, x.class_id, x.n_links) for x in J.jaccard_classes(df).collect()) == brute(rows)
+
+
+def test_rows_grow_with_members(spark, monkeypatch):
+    """One family of different near copies, in blocks: no operator's rows grow with its square."""
+    made = []
+    plain = J.materialise
+
+    def counted(df, name, tidy=False):
+        found = plain(df, name, tidy)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(J, "materialise", counted)
+    monkeypatch.setattr(J, "BLOCK", 64)
+    r, base = random.Random(6), ["b%d" % i for i in range(120)]
+    most = {}
+    for n in (500, 2000):
+        rows = []
+        for d in range(n):
+            text = list(base)
+            text[r.randrange(120)] = "x%d" % d
+            rows.append((d, " ".join(text)))
+        made.clear()
+        found = J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {(x.class_id, x.n_links) for x in found} == {(0, n - 1)}
+        most[n] = max(made)
+    assert most[2000] <= 4.5 * most[500] and most[2000] <= J.BANDS * 2000
+
+
+def test_links_whose_edges_do_not_fit_come_in_further_rounds(spark, monkeypatch):
+    """Members of one block that link to more members elsewhere than a task may write edges."""
+    import pyarrow as pa
+
+    sets = [np.array([1], np.uint64)]
+    blocks = {0: [0], 1: list(range(1, 9)), 2: list(range(9, 17))}
+    sig = np.zeros(J.ROWS * J.BANDS, "<u2").tobytes()
+    shape = pa.struct([("member", pa.int64()), ("copies", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary()), ("label", pa.int64())])
+    rows = [[{"member": m, "copies": 1, "sig": sig, "shingles": sets[0].tobytes(), "label": m} for m in ms] for ms in blocks.values()]
+    batch = pa.RecordBatch.from_arrays([pa.array([5] * 3), pa.array([0] * 3), pa.array([-1, 1, 2]), pa.array(rows, pa.list_(shape))], names=["family", "task", "rank", "members"])
+    out = pa.Table.from_batches(J._links_between([batch])).to_pylist()
+    assert [x["n"] for x in out if x["b"] is None and x["a"] is not None] == [16]
+    assert sum(x["b"] is not None for x in out) == 2 and sum(x["a"] is None for x in out) == 1
+
+
+def test_recall_of_near_copies(spark):
+    """Pairs of 0.8 to 0.9, each planted once: how many of them are found."""
+    r, rows, linked = random.Random(8), [], 0
+    for k in range(1500):
+        base = ["k%d-%d" % (k, i) for i in range(r.randint(60, 200))]
+        text = list(base)
+        for _ in range(max(1, len(base) // 45)):
+            text[r.randrange(len(text))] = "x%d" % r.randrange(10**6)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(text))]
+    truth = brute(rows)
+    found = sorted((x.doc_id, x.class_id, x.n_links) for x in J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    linked = sum(n for _, _, n in truth)
+    assert linked > 1000 and sum(n for _, _, n in found) >= 0.999 * linked
 
 
 def test_posterior_rule():
