@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import text
 from corpusloom.operators.splits import global_rank, key_rank
-from corpusloom.operators.windows import pack_array
+from corpusloom.operators.windows import pack_windows
 
 IGNORED = -100
 
@@ -47,15 +47,13 @@ def stats(encoded: DataFrame) -> DataFrame:
 def pack_sequences(encoded: DataFrame, shard: str, order: str, limit: int) -> DataFrame:
     """Samples of a shard, in order, joined to sequences of at most ``limit`` ids (no sample is split).
 
-    Packing is sequential, hence per shard: shards run in parallel and bound what one task holds.
+    Bins are found from (order, length) of a shard's samples alone; ids and labels meet
+    only in the row of their bin.  Samples without ids are left out.
     """
-    rows = encoded.where(F.col("input_ids").isNotNull())
-    units = F.array_sort(F.collect_list(F.struct(F.col(order).alias("pos"), F.col("input_ids").alias("ids"), F.col("labels").alias("labels"))))
-    packed = rows.groupBy(shard).agg(units.alias("units"))
-    packed = packed.withColumn("bins", pack_array(F.transform("units", lambda u: F.size(u["ids"])), limit))
-    each = packed.select(shard, F.posexplode(F.arrays_zip("units", "bins")).alias("k", "u"))
-    each = each.select(shard, "k", F.col("u.bins").alias("bin"), "u.units.ids", "u.units.labels")
-    whole = each.groupBy(shard, "bin").agg(F.array_sort(F.collect_list(F.struct("k", "ids", "labels"))).alias("parts"))
+    rows = encoded.where(F.col("input_ids").isNotNull()).select(shard, order, "input_ids", "labels", F.size("input_ids").alias("__size"))
+    packed = pack_windows(rows, shard, order, "__size", limit)
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("pos"), F.col("input_ids").alias("ids"), "labels")))
+    whole = packed.groupBy(shard, F.col("window").alias("bin")).agg(parts.alias("parts"))
     ids, labels = (F.flatten(F.col(f"parts.{f}")) for f in ("ids", "labels"))
     return whole.select(shard, "bin", ids.alias("input_ids"), labels.alias("labels")).withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
 

@@ -252,23 +252,27 @@ def n08_pad_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return padded.select("conv_id", "turn", F.size("input_ids").alias("width"), _text("input_ids"), _text("labels"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.doc_id, -1) AS left_id, coalesce(b.doc_id, -1) AS right_id FROM (SELECT upper(source || '-' || doc_id // 2) AS k, doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 5 <> 0) a FULL OUTER JOIN (SELECT upper(source || '-' || doc_id // 2) AS k, doc_id FROM documents WHERE doc_id % 2 = 1 AND doc_id % 7 <> 0) b ON a.k = b.k")
+@query(
+    "SELECT coalesce(a.k, b.k) AS k, coalesce(a.doc_id, -1) AS left_id, coalesce(b.page_id, -1) AS right_id FROM (SELECT upper('K-' || doc_id) AS k, doc_id FROM documents) a"
+    " FULL OUTER JOIN (SELECT upper('K-' || (3 * page_id)) AS k, page_id FROM pages) b ON a.k = b.k"
+)
 def j01_full_outer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = table(spark, sf_dir, "documents").select("doc_id", T.normalize_id(F.concat("source", F.lit("_"), F.expr("cast(doc_id div 2 as string)")), compose=False).alias("k"))
-    left = keyed.where("doc_id % 2 = 0 AND doc_id % 5 <> 0")
-    right = keyed.where("doc_id % 2 = 1 AND doc_id % 7 <> 0")
-    pairs = joins.paired(left.withColumnRenamed("doc_id", "left_id"), right.withColumnRenamed("doc_id", "right_id"), "k")
+    def keyed(name: str, row_id: str, key: str, to: str) -> DataFrame:
+        number = F.expr(f"cast({key} as string)")
+        return table(spark, sf_dir, name).select(F.col(row_id).alias(to), T.normalize_id(F.concat_ws("_", F.lit("k"), number), compose=False).alias("k"))
+
+    pairs = joins.paired(keyed("documents", "doc_id", "doc_id", "left_id"), keyed("pages", "page_id", "3 * page_id", "right_id"), "k")
     return pairs.select("k", F.coalesce("left_id", F.lit(-1)).alias("left_id"), F.coalesce("right_id", F.lit(-1)).alias("right_id"))
 
 
 @query(
-    "WITH refs AS (SELECT source || '::' || doc_id AS id, text AS target FROM documents WHERE doc_id % 3 = 0), preds AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '::' || doc_id ELSE source || '::x' END AS id FROM documents),"
+    "WITH refs AS (SELECT source || '::' || doc_id AS id, text AS target FROM documents), preds AS (SELECT doc_id, source || '::' || (doc_id + doc_id % 2) AS id FROM documents),"
     " fb AS (SELECT split_part(id, '::', 1) AS k, arg_min(target, id) AS target FROM refs GROUP BY 1) SELECT doc_id, coalesce(refs.target, fb.target) AS target FROM preds LEFT JOIN refs USING (id) LEFT JOIN fb ON fb.k = split_part(preds.id, '::', 1)"
 )
 def j04_prediction_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    refs = docs.where("doc_id % 3 = 0").select(F.concat_ws("::", "source", "doc_id").alias("id"), F.col("text").alias("target"))
-    preds = docs.select("doc_id", F.expr("CASE WHEN doc_id % 2 = 0 THEN concat(source, '::', doc_id) ELSE concat(source, '::x') END").alias("id"))
+    refs = docs.select(F.concat_ws("::", "source", "doc_id").alias("id"), F.col("text").alias("target"))
+    preds = docs.select("doc_id", F.expr("concat(source, '::', doc_id + doc_id % 2)").alias("id"))
     return joins.with_reference(preds, refs, "id", ["target"], order="id").select("doc_id", "target")
 
 
@@ -319,8 +323,8 @@ def f04_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.within_budget(_units(spark, sf_dir), F.col("cost"), 120).select("conv_id", "turn", "cost")
 
 
-@query("SELECT doc_id, count(*) AS tables FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 0 UNION ALL SELECT DISTINCT doc_id FROM labels WHERE toxic = 1 UNION ALL SELECT DISTINCT doc_id FROM documents WHERE doc_id % 10 = 0) GROUP BY doc_id")
+@query("SELECT doc_id, count(*) AS tables FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 0 UNION ALL SELECT DISTINCT doc_id FROM labels WHERE toxic = 1 UNION ALL SELECT DISTINCT doc_id FROM documents UNION ALL SELECT DISTINCT page_id AS doc_id FROM pages) GROUP BY doc_id")
 def u01_union_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
-    return joins.union_keys(labels.where("quality = 0"), labels.where("toxic = 1"), docs, key="doc_id")
+    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
+    return joins.union_keys(labels.where("quality = 0"), labels.where("toxic = 1"), docs, pages, key="doc_id")

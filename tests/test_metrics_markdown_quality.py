@@ -62,9 +62,23 @@ def test_markdown():
     assert "\n\n\n" not in out and out.endswith("\n") and MD.convert("") == "\n" and MD.fence("a") == "~~~"
 
 
-def test_markdown_of_deep_pages(spark):
-    df = spark.createDataFrame([(1, "<div>" * 3000 + "deep"), (2, None)], "id int, html string")
-    assert {r.id: r.markdown for r in MD.html_to_markdown(df, "id", "html").collect()} == {1: "deep\n", 2: "\n"}
+def test_markdown_of_deep_and_odd_pages(spark):
+    deep = "<div>" * 3000 + "<script>var secret=1;</script>deep"
+    rows = [(1, deep), (2, None), (3, ""), (4, "<b>" * 3000 + "x"), (5, "<p>" + "y " * 200000)]
+    df = spark.createDataFrame(rows, "id int, html string").withColumn("markdown", F.lit("clash"))
+    out = {r.id: r.markdown for r in MD.html_to_markdown(df, "id", "html").collect()}
+    assert out[1] == "deep\n" and out[2] == out[3] == "\n" and out[4] == "x\n" and len(out[5]) == 400000
+    assert MD.html_to_markdown(df.limit(0), "id", "html").count() == 0
+
+
+def test_markdown_parts():
+    assert MD.convert("<ul><li>a<b>b</b></li>stray<p>lost</p><li> c </li></ul>") == "- ab\n- c\n"
+    assert MD.convert("<pre>a <b>b</b><br>  c\n\n</pre>") == "~~~\na b\n  c\n~~~\n"
+    assert MD.convert("<div class='code'>x<div><pre>inner</pre></div>y<pre>second</pre></div>") == "~~~\ninner\n~~~\n"
+    assert MD.convert("<table><tr><td>a<br> b</td><td>c|d</td></tr><tr></tr><tr><th>e</th></tr></table>") == "| a\\nb | c\\|d |\n| --- | --- |\n| e |  |\n"
+    assert MD.convert("<p>one <code>a  b</code> two<hr>x<a>bare</a></p>") == "one a  b two\n----\nxbare\n"
+    assert MD.convert("</p><i>un<b>closed</i>text") == "un\nclosed\ntext\n"
+    assert MD.convert("<body>all<div id='page-content'>this</div></body>") == "this\n"
 
 
 def test_quality(spark):
