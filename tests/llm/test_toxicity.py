@@ -39,16 +39,54 @@ def test_held_out_labels_are_never_used(spark):
     assert np.array_equal(one.keys, two.keys) and np.allclose(one.weights, two.weights) and one.bias == two.bias
 
 
-def test_label_model_finds_accuracies_and_correlations():
+def planted(rng, n, share, accuracy, coverage):
+    """Hidden labels, and votes of voters that vote on some rows, right with their accuracy."""
+    truth = rng.random(n) < share
+    given = [np.where(rng.random(n) < c, np.where(rng.random(n) < a, truth, ~truth), -1) for a, c in zip(accuracy, coverage, strict=True)]
+    return truth, np.stack(given, 1).astype(np.int8)
+
+
+def test_label_model_finds_planted_accuracies_and_correlations():
     rng = np.random.default_rng(1)
-    truth = rng.random(4000) < 0.3
-    accuracy = [0.9, 0.8, 0.7, 0.6]
-    given = np.stack([np.where(rng.random(4000) < a, truth, ~truth) for a in accuracy], 1).astype(np.int8)
-    given = np.concatenate([given, given[:, 3:4], given[:, 3:4]], 1)
-    post, tables, corr = X.label_model(given, np.where(given[:, :3].sum(1) >= 2, 0.8, 0.2))
-    found = tables[:4, 1, 2]
-    assert np.abs(found - accuracy).max() < 0.12 and corr[3, 4] > 0.9 and abs(corr[0, 1]) < 0.3
-    assert ((post > 0.5) == truth).mean() > 0.9
+    accuracy, coverage = [0.9, 0.85, 0.8, 0.75, 0.7, 0.65], [0.9, 0.8, 1.0, 0.7, 0.9, 1.0]
+    truth, given = planted(rng, 20_000, 0.3, accuracy, coverage)
+    # Three more voters that mostly repeat the last one: without pairs in the model they would outvote the rest.
+    echo = [np.where(rng.random(len(truth)) < 0.95, given[:, 5], rng.integers(0, 2, len(truth))) for _ in range(3)]
+    given = np.concatenate([given, np.stack(echo, 1)], 1).astype(np.int8)
+    model = X.label_model(given, 0.3)
+    assert np.abs(model.accuracies[:6] - accuracy).max() < 0.06
+    assert model.correlations[5, 6] > 0.8 and np.abs(model.correlations[:5, :5] - np.eye(5)).max() < 0.1
+    linked = {frozenset((j, int(p))) for j, p in enumerate(model.parent) if p >= 0}
+    assert len(linked) == 3 and all(x <= {5, 6, 7, 8} for x in linked)
+    right = ((model.posterior(given) > 0.5) == truth).mean()
+    best = ((np.log(0.3 / 0.7) + sum(np.where(given[:, j] < 0, 0, np.where(given[:, j] == 1, 1, -1) * np.log(a / (1 - a))) for j, a in enumerate(accuracy)) > 0) == truth).mean()
+    assert right > best - 0.01
+
+
+def test_votes_do_not_read_their_own_label(spark):
+    """A word that is clear evidence in one document's label alone gives that document no lexicon vote."""
+    docs, labels = corpus(600)
+    rows = X.training_rows(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows = rows.withColumn("fold", F.pmod("doc_id", F.lit(X.FOLDS)).cast("int"))
+    rows = rows.withColumn("text", F.when(F.col("fold") == 1, F.concat("text", F.lit(" onlyhere"))).otherwise(F.col("text"))).withColumn("toxic", F.when(F.col("fold") == 1, 1).otherwise(F.col("toxic")))
+    counts = {r.fold: (r.n, r.t) for r in rows.groupBy("fold").agg(F.count("toxic").alias("n"), F.sum("toxic").alias("t")).collect()}
+    lexicons, _, clear = X.clear_features(rows, [counts[f] for f in range(X.FOLDS)])
+    _, h, _ = X.document_features(pa.array(["onlyhere"]))
+    at = np.flatnonzero(np.isin(lexicons.keys, h))
+    assert len(at) and clear[at].all() and not lexicons.clear[1, at].any() and lexicons.clear[0, at].all()
+
+
+def test_classifier_on_posteriors_against_plain_labels(spark):
+    """Held-out accuracy beside that of the same classifier on the labels themselves."""
+    docs, labels = corpus(1500, seed=11)
+    d, given = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model, truth = X.train(d, given), dict(labels)
+    features = lambda part: [h.astype("<u8").tobytes() for _, t in part for h in [np.intersect1d(X.document_features(pa.array([t]))[1], model.keys)]]
+    taught, held = ([x for x in docs if X.held_out(x[0]) == w] for w in (False, True))
+    w, bias = X._classifier(features(taught), model.keys, np.array([float(truth[i]) for i, _ in taught]), np.zeros(len(model.keys)))
+    plain = X.ToxicityModel(model.keys, w, bias, w, w)
+    right = [np.mean((m.score(pa.array([t for _, t in held])) >= c) == np.array([truth[i] == 1 for i, _ in held])) for m, c in ((model, X.THRESHOLD), (plain, 0.5))]
+    assert right[0] >= right[1] - 0.02 and right[0] > 0.95, right
 
 
 def test_edge_rows(spark):
@@ -93,5 +131,5 @@ def test_all_labels_count_though_the_classifier_is_fitted_on_a_sample(spark, mon
     assert (model.score(pa.array(clean)) < X.THRESHOLD).mean() > 0.9
     monkeypatch.setattr(X, "MAX_PATTERNS", 0)
     summed = X.train(d, given)
-    assert np.array_equal(model.keys, summed.keys) and np.allclose(model.accuracies, summed.accuracies) and np.allclose(model.correlations, summed.correlations)
+    assert np.array_equal(model.keys, summed.keys) and np.allclose(model.accuracies, summed.accuracies) and np.allclose(model.correlations, summed.correlations, atol=1e-6)
     assert np.allclose(model.weights, summed.weights, atol=1e-4)
