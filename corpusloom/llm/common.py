@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +27,52 @@ def require(df: DataFrame, *names: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+    """A new folder below the one that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where the cluster names none (as in tests on one machine) a folder of
-    our own is set.
+    Only where neither is set and all runs in one process (as in tests) a local folder is
+    taken; on a cluster without one this raises, as executors would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = found.get() if found.isDefined() else None
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables written while it is open; all but those kept are deleted at the end."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.tables = [t for t in self.tables if t.table_path != table.table_path]
+        outer = _SCRATCH.get()[:-1]
+        if outer:
+            outer[-1].tables.append(table)
+        return table
+
+
+_SCRATCH: contextvars.ContextVar[tuple[Scratch, ...]] = contextvars.ContextVar("scratch", default=())
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Delete the tables that :func:`materialise` writes inside, for results that are at hand at the end or are kept."""
+    mine = Scratch()
+    token = _SCRATCH.set((*_SCRATCH.get(), mine))
+    try:
+        yield mine
+    finally:
+        _SCRATCH.reset(token)
+        discard(*mine.tables)
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -54,6 +92,8 @@ def materialise(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.table_path = path
+    if _SCRATCH.get():
+        _SCRATCH.get()[-1].tables.append(found)
     return found
 
 

@@ -105,8 +105,13 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, k: int = ROWS * BANDS) ->
     return out
 
 
+def text_hash() -> Column:
+    """What tells rows of one ``doc_id`` apart."""
+    return F.xxhash64(text_of())
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, ``set_a``/``set_b`` (128-bit hash of the shingle set), ``size`` of the set, ``bands`` (keys) and ``sig`` (16 bits a value); nulls without shingles."""
+    """Per document: ``doc_id``, ``text_hash``, ``set_a``/``set_b`` (128-bit hash of the shingle set), ``size`` of the set, ``bands`` (keys) and ``sig`` (16 bits a value); nulls without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,10 +131,10 @@ def sketch(docs: DataFrame) -> DataFrame:
                         columns[3][at] = keys[i].view(np.int64)
                         columns[4][at] = (sig[i] & np.uint32(0xFFFF)).astype("<u2").tobytes()
                 arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", "set_a", "set_b", "size", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *arrays], names=["doc_id", "text_hash", "set_a", "set_b", "size", "bands", "sig"])
 
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return given.mapInArrow(run, "doc_id bigint, set_a bigint, set_b bigint, size bigint, bands array<bigint>, sig binary")
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), text_hash().alias("text_hash"))
+    return given.mapInArrow(run, "doc_id bigint, text_hash bigint, set_a bigint, set_b bigint, size bigint, bands array<bigint>, sig binary")
 
 
 @lru_cache(maxsize=8)
@@ -445,13 +450,15 @@ def _links(held: DataFrame) -> DataFrame:
             return found
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``class_id`` and ``n_links``.
+def jaccard_classes(docs: DataFrame, detailed: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``class_id`` and ``n_links``; if ``detailed`` also ``text_hash`` and ``class_key``.
 
     ``n_links`` counts the other rows whose shingle set has Jaccard similarity
     0.8 or more (equal sets included); ``class_id`` is the least ``doc_id`` among
     all rows reached by links.
 
+    ``class_key`` is a number of the class, also where ``doc_id`` is not unique; it is null for rows that form their own class by rule.
+
     * Null or wordless texts have no shingles, link to nothing and form their own class.
     * A text with one to four words has one shingle, its words.
     * Texts are used whole.  Repeated rows (also with one ``doc_id``) are rows of their own and link to each other.
@@ -487,10 +494,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     least = classes.join(members.select(F.col("member").alias("node"), "least"), "node")
     least = materialise(least, "least")
     named = materialise(least.groupBy("component").agg(F.min("least").alias("class_id")), "named")
-    classes = lookup(least, "component", named, "component").select("node", "class_id")
+    classes = lookup(least, "component", named, "component").select("node", "component", "class_id")
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
     about = members.join(classes, members["member"] == classes["node"], "left").join(links, members["member"] == links["a"], "left")
-    about = about.select(*keys, F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    with_words = whole.select("doc_id", *keys).join(about, keys).select("doc_id", "class_id", "n_links")
-    rest = sketched.where("doc_id IS NULL OR set_a IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return with_words.unionByName(rest)
+    about = about.select(
+        *keys, F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "member").alias("class_key")
+    )
+    columns = ["doc_id", "class_id", "n_links", *(["text_hash", "class_key"] if detailed else [])]
+    with_words = whole.select("doc_id", "text_hash", *keys).join(about, keys)
+    rest = sketched.where("doc_id IS NULL OR set_a IS NULL").withColumns({"class_id": F.col("doc_id"), "n_links": F.lit(0).cast("bigint"), "class_key": F.lit(None).cast("bigint")})
+    return with_words.select(*columns).unionByName(rest.select(*columns))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, mixing, pii_crf, repeats, toxicity, transport_stream, warc, wrapper_induction
-from corpusloom.llm.common import table
+from corpusloom.llm.common import scratch, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -70,7 +70,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    with scratch():
+        model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_texts(docs, model)
     return scored.select(
         "doc_id",

@@ -53,3 +53,11 @@ def test_repeated_and_null_ids(spark, sf):
     kept = P.drop_near_duplicates(spark, docs, sf).collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 2]
     assert P.mask_personal_data(spark, docs, sf).count() == 4
+
+
+def test_no_text_is_lost_with_repeated_ids(spark, sf):
+    rows = [(1, "a b c d e f g", "x"), (1, "h i j k l m n", "x"), (1, "h i j k l m n", "w"), (2, "h i j k l m n", "x"), (1, "", "x"), (1, " ", "x"), (None, "q", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for part in (1, 3):
+        kept = [tuple(r) for r in P.drop_near_duplicates(spark, docs.repartition(part), sf).collect()]
+        assert sorted(kept, key=str) == sorted([(1, "a b c d e f g", "x"), (1, "h i j k l m n", "w"), (1, "", "x"), (1, " ", "x"), (None, "q", "x")], key=str)
