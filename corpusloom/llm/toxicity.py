@@ -481,13 +481,14 @@ def _margins(voted: DataFrame, keys: np.ndarray, w: np.ndarray, bias: float) ->
 
 
 def cutoff(margin: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> float:
-    """The margin that parts the labels of ``n`` rows each with least balanced error; the middle of the gap, if several do."""
+    """The margin that parts the labels of ``n`` rows each with the best F-measure of label 1; the middle of the gap, if several do."""
     order = np.argsort(margin, kind="stable")
     m, t, n = margin[order], toxic[order] == 1, n[order]
     if t.all() or not t.any():
         return float(m[-1] + 1 if not t.any() else m[0] - 1)
-    missed, raised = np.cumsum(t * n) / (t * n).sum(), 1 - np.cumsum(~t * n) / (~t * n).sum()
-    error = np.where(np.append(m[1:] > m[:-1], False), missed + raised, np.inf)
+    missed, raised = np.cumsum(t * n), (~t * n).sum() - np.cumsum(~t * n)
+    caught = (t * n).sum() - missed
+    error = np.where(np.append(m[1:] > m[:-1], False), -caught / (caught + (missed + raised) / 2), np.inf)
     at = int(error.argmin())
     return float((m[at] + m[at + 1]) / 2) if np.isfinite(error[at]) else float(m.mean())
 
