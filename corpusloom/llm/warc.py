@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,19 +78,101 @@ def http_message(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, headers, body
 
 
+def plain_body(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """A body without its transfer and content codings (chunked, gzip, deflate), as far as it can be read; others stay as they are."""
+    about = {k.lower(): v.lower() for k, v in headers}
+    if "chunked" in about.get("transfer-encoding", ""):
+        parts, at = [], 0
+        while (end := body.find(b"\r\n", at)) >= 0 and re.fullmatch(rb"[0-9a-fA-F]+", size := body[at:end].split(b";")[0].strip()):
+            n = int(size, 16)
+            parts.append(body[end + 2 : end + 2 + n])
+            at = end + 4 + n
+            if not n:
+                break
+        body = b"".join(parts) if at else body
+    for coding in reversed(about.get("content-encoding", "").replace(" ", "").split(",")):
+        for wbits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            reader = zlib.decompressobj(wbits)
+            try:
+                body = reader.decompress(body)
+            except zlib.error:
+                continue
+            break
+    return body
+
+
 def decoded(headers: list[tuple[str, str]], body: bytes) -> tuple[str, str]:
-    """Charset and text of a body: from the headers, else from the page's beginning, else UTF-8."""
+    """Charset and text of a body: from the headers, else from the page's beginning, else UTF-8; names that are no text encoding count as UTF-8."""
+    body = plain_body(headers, body)
     stated = next((v for k, v in headers if k.lower() == "content-type"), "")
     found = _CHARSET.search(stated) or _CHARSET.search(body[:1024].decode("latin-1"))
     charset = found[1].lower() if found else "utf-8"
     try:
         return charset, body.decode(charset, "replace")
-    except LookupError:
+    except (LookupError, UnicodeError):
         return "utf-8", body.decode("utf-8", "replace")
 
 
-def derive(record_id: str, target: str, date: str, block: bytes) -> list[dict]:
-    """The metadata and the conversion record of one response."""
+def parse_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Headers and block of each record of a WARC file, plain or gzipped by record; ends at the first thing that is no record."""
+    if data[:2] == b"\x1f\x8b":
+        while data[:2] == b"\x1f\x8b":
+            reader = zlib.decompressobj(31)
+            try:
+                member = reader.decompress(data)
+            except zlib.error:
+                return
+            yield from parse_records(member)
+            data = reader.unused_data
+        return
+    at = 0
+    while data.startswith(b"WARC/", at):
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        headers = [(k.strip(), v.strip()) for k, cut, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]) if cut]
+        stated = next((v for k, v in headers if k.lower() == "content-length"), "")
+        if not stated.isdigit():
+            return
+        yield headers, data[end + 4 : end + 4 + int(stated)]
+        at = end + 4 + int(stated)
+        while data.startswith(b"\r\n", at):
+            at += 2
+
+
+def response_rows(files: DataFrame, content: str = "content") -> DataFrame:
+    """The response records of WARC files, one file a row (as Spark's ``binaryFile`` source reads them): ``record_id``, ``target_uri``, ``warc_date``, ``block`` and ``warc_headers``.
+
+    Files are independent; one is held by its task.  A null or damaged file gives the
+    records before the damage; repeated files give repeated rows; other columns are not read.
+    """
+    require(files, content)
+    names = ("warc-record-id", "warc-target-uri", "warc-date")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                for headers, block in parse_records(data.as_py() or b""):
+                    about = {k.lower(): v for k, v in headers}
+                    if about.get("warc-type", "").lower() == "response":
+                        found = [about.get(n, "").strip("<>" if n == "warc-target-uri" else "") for n in names]
+                        row = [*([x] for x in found), [block], [[{"name": k, "value": v} for k, v in headers]]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, _RESPONSE, strict=True)], names=["record_id", "target_uri", "warc_date", "block", "warc_headers"])
+
+    return files.select(content).mapInArrow(run, f"record_id string, target_uri string, warc_date string, block binary, warc_headers {HEADERS}")
+
+
+HEADERS = "array<struct<name:string,value:string>>"
+_PAIRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+_RESPONSE = (pa.string(), pa.string(), pa.string(), pa.binary(), _PAIRS)
+
+
+def derive(record_id: str, target: str, date: str, block: bytes, given: list[tuple[str, str]] = ()) -> list[dict]:
+    """The metadata and the conversion record of one response, whose own WARC headers may be ``given``.
+
+    Given digests are carried over; one that the bytes do not bear out (of a kind that
+    can be checked) is named in the metadata.
+    """
     status, headers, body = http_message(block)
     charset, page = decoded(headers, body)
     tree = parse(page)
@@ -105,8 +188,15 @@ def derive(record_id: str, target: str, date: str, block: bytes) -> list[dict]:
                 links.append(" ".join(href.split()))
         stack.extend(c for c in reversed(node.children) if c.__class__ is Node)
     text = "\n".join(blocks(tree, lambda n: n.tag in _INVISIBLE))
-    fields = [("http-status", status), *(("http-header", f"{k}: {v}") for k, v in headers), ("charset", charset), ("title", title), *(("outlink", x) for x in links)]
-    source = [("WARC-Refers-To", record_id), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date), ("WARC-Source-Block-Digest", digest(block)), ("WARC-Source-Payload-Digest", digest(body))]
+    stated = {k.lower(): v for k, v in given}
+    digests, doubts = {}, []
+    for kind, data in (("block", block), ("payload", body)):
+        own = digest(data)
+        digests[kind] = stated.get(f"warc-{kind}-digest") or own
+        if digests[kind].lower().startswith("sha1:") and digests[kind].lower() != own.lower():
+            doubts.append(("digest-mismatch", f"{kind} {own}"))
+    fields = [*(("warc-header", f"{k}: {v}") for k, v in given), *doubts, ("http-status", status), *(("http-header", f"{k}: {v}") for k, v in headers), ("charset", charset), ("title", title), *(("outlink", x) for x in links)]
+    source = [("WARC-Refers-To", record_id), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date), ("WARC-Source-Block-Digest", digests["block"]), ("WARC-Source-Payload-Digest", digests["payload"])]
     made = (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")))
     ids = {kind: urn(record_id, kind) for kind, _, _ in made}
     rows = []
@@ -137,6 +227,7 @@ def responses(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
 def derivatives(df: DataFrame, keep: str | None = "page_id") -> DataFrame:
     """Two rows per response (the columns of ``SCHEMA``), with the column ``keep`` passed through if given.
 
+    * A column ``warc_headers`` (names and values, as of :func:`response_rows`) is used if there is one: all of them stand in the metadata record, and digests are carried over.
     * A null block counts as empty: its records have no headers, title, links or text.
     * A null id, URI or date counts as empty text; other columns are not read, so none can clash.
     * Pages are converted whole, however long; repeated rows give repeated records with equal ids.
@@ -144,13 +235,15 @@ def derivatives(df: DataFrame, keep: str | None = "page_id") -> DataFrame:
     """
     names = ("record_id", "target_uri", "warc_date", "block")
     require(df, *names, *([keep] if keep else []))
-    given = df.select(*([F.col(keep)] if keep else []), *(F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names[:-1]), F.col("block"))
+    if keep in {n for n, _ in _COLUMNS}:
+        raise ValueError(f"{keep} is a column of the result")
+    given = df.select(*([F.col(keep)] if keep else []), *(F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names[:-1]), F.col("block"), (F.col("warc_headers") if "warc_headers" in df.columns and keep != "warc_headers" else F.lit(None)).cast(HEADERS).alias("__given"))
     prefix = f"`{keep}` {dict(given.dtypes)[keep]}, " if keep else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "block"):
-                made = [derive(i, u, d, b or b"") for i, u, d, b in zip(*(part.column(n).to_pylist() for n in names), strict=True)]
+                made = [derive(i, u, d, b or b"", [(x["name"] or "", x["value"] or "") for x in g or () if x]) for i, u, d, b, g in zip(*(part.column(n).to_pylist() for n in (*names, "__given")), strict=True)]
                 rows = [r for two in made for r in two]
                 arrays = [pa.array([r[n] for r in rows], t) for n, t in _COLUMNS]
                 if keep:

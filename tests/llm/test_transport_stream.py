@@ -44,3 +44,37 @@ def test_dataframe(spark):
     none = ts.read_media(ts.store_payloads(spark.createDataFrame([(1, None)], "doc_id long, payload binary"))).first()
     assert none.payload is None and none.timestamps is None
     assert ts.read_media(ts.store_payloads(df.limit(0))).count() == 0
+
+
+def test_query_against_a_plain_version(spark, sf):
+    """Every column of the query from the texts alone; packets are read here by their headers."""
+    import hashlib
+    import zlib
+
+    from corpusloom.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op6_transport_stream"](spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        padded = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(padded), hashlib.sha256(padded).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(padded[-32:])
+        media = ts.mux(padded)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+        stored = b""
+        starts = access = 0
+        for p in packets:
+            pid = (p[1] & 31) << 8 | p[2]
+            if pid == ts.DATA_PID:
+                at = 4 + (1 + p[4] if p[3] & 0x20 else 0)
+                access += bool(p[3] & 0x20 and p[4] and p[5] & 0x40)
+                if p[1] & 0x40:
+                    starts += 1
+                    at += 9 + p[at + 8]  # the header of an elementary packet
+                stored += p[at:]
+        assert stored == padded
+        wanted = {"programs": 1, "streams": 1, "packets": len(packets), "units": starts, "random_access": access, "continuity_errors": 0, "lost_bytes": 0, "bad_sections": 0}
+        assert wanted.items() <= {k: int(v) for k, v in (x.split("=") for x in r.feature.split(";"))}.items()
