@@ -90,11 +90,9 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     joined = docs.join(F.broadcast(rates) if few else rates, docs["source"].eqNullSafe(F.col("__source")), "inner")
 
-    def drawn(j: Column) -> Column:
-        u = _bits(seed, docs["doc_id"], docs["source"], j) / F.lit(float(1 << 52))
-        return F.size(F.filter(F.col("__cdf"), lambda c: c <= u))
-
-    count = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, j: n + drawn(j))
+    # Each draw is bound to a lambda variable: written into the filter it would be made anew for every entry of the table.
+    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: _bits(seed, docs["doc_id"], docs["source"], j) / F.lit(float(1 << 52)))
+    count = F.aggregate(F.transform(draws, lambda u: F.size(F.filter(F.col("__cdf"), lambda c: c <= u))), F.lit(0), lambda n, k: n + k)
     counted = joined.withColumn("__count", count).where("__count > 0")
     copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
     key = _bits(seed + 1, docs["doc_id"], docs["source"], F.col("__copy"))
