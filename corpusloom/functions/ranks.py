@@ -1,12 +1,13 @@
-"""Order statistics by three index rules, as aggregates (Column -> Column).
+"""Order statistics by three index rules.
 
-They sort the values of a group, so they are for reports over counts or lengths of
-samples, whose groups are small; for whole corpora see ``histogram_at``.
+``floor_index``, ``upper_median`` and ``nearest_even`` are aggregates (Column ->
+Column) that sort the values of a group in one row, for small groups.
+``order_statistics`` finds the same values of a whole column without gathering it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,10 +30,46 @@ def nearest_even(values: Column, p: float) -> Column:
     return _at(values, F.bround(F.lit(p) * (F.count(values) - 1)))
 
 
-def histogram_at(df, value: str, index: int):
-    """The value at ``index`` of the sorted column, from counts per distinct value: nothing but the histogram is gathered."""
-    from pyspark.sql import Window
+#: Ranges of values whose counts come to the driver.
+RANGES = 256
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value)))
-    return upto.where(F.col("upto") > index).agg(F.min(value).alias(value))
+
+def _index(rule: str, p: float, n: int) -> int:
+    if rule == "floor":
+        return int(p * (n - 1))
+    if rule == "upper":
+        return n // 2
+    if rule == "nearest":
+        return round(p * (n - 1))
+    raise ValueError(f"unknown rule {rule}")
+
+
+def order_statistics(df: DataFrame, value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row with a column for each of ``wanted``, which names a rule (``floor``, ``upper`` or ``nearest``) and a share.
+
+    Values are counted, cut into ``RANGES`` ranges by approximate percentiles, and only
+    the ranges that hold a wanted index are sorted.  Nulls are left out; without values
+    all columns are null.  Ties, repeated rows and other columns make no difference.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    found = df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]
+    cuts = F.array(*(F.lit(c) for c in sorted(set(found or []))))
+    ranged = counts.withColumn("r", F.size(F.filter(cuts, lambda c: c < F.col("v"))) if found else F.lit(0))
+    sizes = {x["r"]: x["n"] for x in ranged.groupBy("r").agg(F.sum("n").alias("n")).collect()}
+    total, places = sum(sizes.values()), {}
+    for name, (rule, p) in wanted.items():
+        left = min(_index(rule, p, total), total - 1) if total else -1
+        for r in sorted(sizes):
+            if 0 <= left < sizes[r]:
+                places[name] = (r, left)
+                break
+            left -= sizes[r]
+    inside = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = ranged.where(F.col("r").isin(*{r for r, _ in places.values()} or {-1})).withColumn("upto", F.sum("n").over(inside))
+    at = {name: F.min(F.when((F.col("r") == places[name][0]) & (F.col("upto") > places[name][1]), F.col("v"))) if name in places else F.min(F.when(F.lit(False), F.col("v"))) for name in wanted}
+    return upto.agg(*(c.alias(name) for name, c in at.items()))
+
+
+def beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two tables of one row each as one row."""
+    return one.withColumn("__one", F.lit(1)).join(other.withColumn("__one", F.lit(1)), "__one").drop("__one")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.ranks import beside, order_statistics
 from corpusloom.functions.text import hash_fraction
 
 #: Prefix of the hashed key (a fixed value: splits of existing files depend on it).
@@ -138,6 +139,5 @@ def global_rank(df: DataFrame, size: str, row_id: str) -> DataFrame:
 def coverage(df: DataFrame, doc: str) -> DataFrame:
     """One row: documents, and least, median (upper) and most rows per document."""
     per = df.groupBy(doc).agg(F.count(F.lit(1)).alias("n"))
-    from corpusloom.functions.ranks import upper_median
-
-    return per.agg(F.count(F.lit(1)).alias("docs"), F.min("n").alias("least"), upper_median(F.col("n")).alias("median"), F.max("n").alias("most"))
+    sums = per.agg(F.count(F.lit(1)).alias("docs"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return beside(sums, order_statistics(per, "n", {"median": ("upper", 0.5)})).select("docs", "least", "median", "most")

@@ -212,8 +212,8 @@ def a07_anomaly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ANOMALY}, v AS (SELECT list_sort(list(ratio)) AS r, count(*) AS n FROM w) SELECT round(r[round_even(0.05 * (n - 1), 0)::BIGINT + 1], 6) AS p05, round(r[round_even(0.5 * (n - 1), 0)::BIGINT + 1], 6) AS p50, round(r[round_even(0.95 * (n - 1), 0)::BIGINT + 1], 6) AS p95 FROM v")
 def a05_ratio_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.col("ratio")
-    return _anomalies(spark, sf_dir).agg(*(F.round(ranks.nearest_even(r, p), 6).alias(n) for p, n in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95"))))
+    found = ranks.order_statistics(_anomalies(spark, sf_dir), "ratio", {"p05": ("nearest", 0.05), "p50": ("nearest", 0.5), "p95": ("nearest", 0.95)})
+    return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
 
 
 @query(f"{_ANOMALY} SELECT doc_id, round(ratio, 6) AS ratio FROM w ORDER BY w.ratio, n, doc_id LIMIT 20")

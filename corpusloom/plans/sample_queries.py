@@ -193,11 +193,10 @@ def a12_dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT n, v[1] AS least, v[(0.5 * (n - 1))::BIGINT + CASE WHEN (0.5 * (n - 1))::BIGINT > 0.5 * (n - 1) THEN 0 ELSE 1 END] AS p50, v[floor(0.9 * (n - 1))::BIGINT + 1] AS p90, v[floor(0.99 * (n - 1))::BIGINT + 1] AS p99, v[n // 2 + 1] AS upper, v[round_even(0.95 * (n - 1), 0)::BIGINT + 1] AS p95, v[n] AS most, mean FROM s"
 )
 def a03_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("tokens")
-    return _windows(spark, sf_dir).agg(
-        F.count(t).alias("n"), F.min(t).alias("least"), ranks.floor_index(t, 0.5).alias("p50"), ranks.floor_index(t, 0.9).alias("p90"), ranks.floor_index(t, 0.99).alias("p99"),
-        ranks.upper_median(t).alias("upper"), ranks.nearest_even(t, 0.95).alias("p95"), F.max(t).alias("most"), F.round(F.avg(t), 1).alias("mean"),
-    )
+    t, rows = F.col("tokens"), _windows(spark, sf_dir)
+    sums = rows.agg(F.count(t).alias("n"), F.min(t).alias("least"), F.max(t).alias("most"), F.round(F.avg(t), 1).alias("mean"))
+    wanted = {"p50": ("floor", 0.5), "p90": ("floor", 0.9), "p99": ("floor", 0.99), "upper": ("upper", 0.5), "p95": ("nearest", 0.95)}
+    return ranks.beside(sums, ranks.order_statistics(rows, "tokens", wanted)).select("n", "least", "p50", "p90", "p99", "upper", "p95", "most", "mean")
 
 
 @query()

@@ -14,8 +14,10 @@ def process_new(spark: SparkSession, source: str, schema: str, work: Callable[[D
     """Apply ``work`` to the files of ``source`` that earlier runs with this checkpoint have not seen, and append to ``sink``.
 
     A run that dies is finished by the next one; a new checkpoint folder starts afresh.
+    A damaged file fails the run: nothing is skipped silently, and once the file is
+    mended or taken away the next run goes on where this one stood.
     """
-    stream = spark.readStream.schema(schema).option("ignoreCorruptFiles", True).parquet(source)
+    stream = spark.readStream.schema(schema).option("ignoreCorruptFiles", False).parquet(source)
     query = work(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 

@@ -106,3 +106,22 @@ def test_streaming_windows(spark, tmp_path):
     assert sorted((r.k, r.n, r.total) for r in batch.collect()) == [("a", 2, 3.0), ("b", 1, 3.0)]
     incremental.process_new(spark, str(tmp_path / "e"), "ts timestamp, k string, v double", lambda s: incremental.event_windows(s, "ts", "1 hour", ["k"], "v", delay="0 seconds"), str(tmp_path / "o"), str(tmp_path / "c"))
     assert [(r.k, r.n) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [("a", 2)]
+
+
+def test_a_damaged_file_is_not_skipped(spark, tmp_path):
+    import shutil
+
+    import pytest
+
+    source, sink, checkpoint = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    spark.range(3).selectExpr("id AS x").coalesce(1).write.parquet(source)
+    bad = tmp_path / "in" / "bad.parquet"
+    bad.write_bytes(b"PAR1 this is no file PAR1")
+    with pytest.raises(Exception):
+        incremental.process_new(spark, source, "x long", lambda s: s, sink, checkpoint)
+    good = str(tmp_path / "good")
+    spark.createDataFrame([(7,)], "x long").coalesce(1).write.parquet(good)
+    shutil.copy(next((tmp_path / "good").glob("part-*.parquet")), bad)
+    (tmp_path / "in" / ".bad.parquet.crc").unlink(missing_ok=True)
+    incremental.process_new(spark, source, "x long", lambda s: s, sink, checkpoint)
+    assert sorted(r.x for r in spark.read.parquet(sink).collect()) == [0, 1, 2, 7]

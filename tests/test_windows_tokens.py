@@ -67,7 +67,22 @@ def test_three_percentile_rules(spark):
     df = spark.range(10).withColumn("x", F.col("id"))
     row = df.agg(ranks.floor_index(F.col("x"), 0.5).alias("a"), ranks.upper_median(F.col("x")).alias("b"), ranks.nearest_even(F.col("x"), 0.5).alias("c")).first()
     assert (row.a, row.b, row.c) == (4, 5, 4)
-    assert ranks.histogram_at(df, "x", 7).first().x == 7
+    wanted = {"a": ("floor", 0.5), "b": ("upper", 0.5), "c": ("nearest", 0.5), "least": ("floor", 0.0), "most": ("floor", 1.0)}
+    assert tuple(ranks.order_statistics(df, "x", wanted).first()) == (4, 5, 4, 0, 9)
+    assert tuple(ranks.order_statistics(df.limit(0), "x", wanted).first()) == (None,) * 5
+
+
+def test_order_statistics_of_ties_nulls_and_many_values(spark):
+    import random
+
+    r = random.Random(1)
+    values = [r.choice([0.5, r.random(), -r.random() * 100]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 50, "v double").withColumn("n", F.lit(1)).withColumn("r", F.lit(2))
+    wanted = {f"{rule}{k}": (rule, k / 7) for rule in ("floor", "nearest", "upper") for k in range(8)}
+    row, ordered = ranks.order_statistics(df, "v", wanted).first(), sorted(values)
+    for name, (rule, p) in wanted.items():
+        at = {"floor": int(p * 2999), "nearest": round(p * 2999), "upper": 1500}[rule]
+        assert row[name] == ordered[at], name
 
 
 def test_group_split_is_leak_free(spark):
