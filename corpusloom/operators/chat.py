@@ -29,6 +29,20 @@ def chat_samples(df: DataFrame, row_id: str, template: str, source: str = "sourc
     return df.select(F.col(row_id).cast("string").alias("id"), F.lit(task).alias("task"), to_messages(prompt, F.col(target), F.lit(system) if system else None).alias("messages"))
 
 
+def message_status(messages: Column) -> Column:
+    """``ok``, or ``malformed``: no messages, one without role or content, or no assistant message at the end."""
+    broken = F.exists(messages, lambda m: m.isNull() | m["role"].isNull() | m["content"].isNull())
+    last = F.try_element_at(messages, F.lit(-1))["role"]
+    sound = messages.isNotNull() & ~F.coalesce(broken, F.lit(True)) & F.coalesce(last == "assistant", F.lit(False))
+    return F.when(sound, "ok").otherwise("malformed")
+
+
+def conversations(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """One row per conversation: its ``messages`` in the order of turns."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))))
+    return turns.groupBy(conversation).agg(F.transform(parts, lambda p: F.struct(p["role"].alias("role"), p["content"].alias("content"))).alias("messages"))
+
+
 def sft_counts(samples: DataFrame, page: str) -> DataFrame:
     """One row: samples and distinct pages."""
     return samples.agg(F.count(F.lit(1)).alias("total"), F.countDistinct(page).alias("pages"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.ranks import beside, order_statistics
 from corpusloom.functions.text import cjk_ratio, plain_text, strip, text
 
 #: Characters that the Chinese tokenization of BLEU sets apart: ideographs, their punctuation, and full-width forms (fixed ranges).
@@ -134,6 +135,22 @@ def anomaly_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(some).alias("anomalies"), F.coalesce(F.avg(some.cast("double")), F.lit(0.0)).alias("anomaly_ratio"))
 
 
+def anomaly_examples(df: DataFrame, row_id: str, k: int = 20) -> DataFrame:
+    """The first ``k`` rows with a reason, by ``row_id``."""
+    return df.where(F.size("reasons") > 0).orderBy(row_id).limit(k)
+
+
+def anomaly_report(df: DataFrame) -> DataFrame:
+    """One row: :func:`anomaly_summary` and the 5th, 50th and 95th percentile of the ratio (nearest rank, halves to even)."""
+    return beside(anomaly_summary(df), order_statistics(df, "ratio", {"p05": ("nearest", 0.05), "p50": ("nearest", 0.5), "p95": ("nearest", 0.95)}))
+
+
+def throughput(runs: DataFrame, label: str, tokens: str, seconds: str) -> DataFrame:
+    """Per label: steps, tokens, seconds, tokens and steps a second, and seconds a step; null rates without time or steps."""
+    sums = runs.groupBy(label).agg(F.count(F.lit(1)).alias("steps"), F.sum(tokens).alias("tokens"), F.sum(seconds).alias("seconds"))
+    return sums.withColumns({"tokens_per_second": F.try_divide("tokens", "seconds"), "steps_per_second": F.try_divide("steps", "seconds"), "seconds_per_step": F.try_divide("seconds", "steps")})
+
+
 def reason_counts(df: DataFrame) -> DataFrame:
     return df.select(F.explode_outer("reasons").alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 

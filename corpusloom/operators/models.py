@@ -77,7 +77,7 @@ class HashEmbedder:
         out = np.zeros((len(texts), self.width), np.float32)
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+                h = int.from_bytes(hashlib.sha1(word.encode()).digest()[:8], "big")
                 out[i, h % self.width] += 1 if h >> 32 & 1 else -1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,12 @@ def quality_flags(df: DataFrame, source: str = "source", target: str = "target",
     return df.withColumn("flags", _reasons(**tests))
 
 
+def drop_flagged(df: DataFrame, *rules: str, flags: str = "flags") -> DataFrame:
+    """The rows without one of these flags (without any, if none is named): the drop mode of rules that else only flag."""
+    hit = F.arrays_overlap(flags, F.array(*map(F.lit, rules))) if rules else F.size(flags) > 0
+    return df.where(~F.coalesce(hit, F.lit(False)))
+
+
 def drop_duplicates(df: DataFrame, row_id: str, source: str = "source", target: str = "target", same_source: bool = True) -> DataFrame:
     """The first row (by ``row_id``) of each source, or of each pair; only hashes are compared."""
     key = F.sha1(text(F.col(source))) if same_source else F.sha1(F.concat_ws("\0", text(F.col(source)), text(F.col(target))))
@@ -63,17 +70,24 @@ def drop_duplicates(df: DataFrame, row_id: str, source: str = "source", target:
     return df.withColumn("__key", key).withColumn("__rank", rank).where("__rank = 1").drop("__key", "__rank")
 
 
-def audit(df: DataFrame, source: str = "source", target: str = "target", identifier: str = r"[A-Z]+-[0-9]+") -> DataFrame:
-    """Add ``prose_ratio``, ``identifier_recall`` (null below five identifiers), ``level`` (pass, review, fail) and ``reasons``."""
+def audit(df: DataFrame, source: str = "source", target: str = "target", identifier: str = r"[A-Z]+-[0-9]+", ignored: Sequence[str] = (), components: Callable[[Column], Column] | None = None, most_missing: int = 3) -> DataFrame:
+    """Add ``prose_ratio``, ``identifier_recall`` (null below five identifiers), ``missing_components``, ``level`` (pass, review, fail) and ``reasons``.
+
+    ``components`` extracts the names of a text's components; ``most_missing`` of the
+    source's or more that the target lacks ask for a review.  ``ignored`` identifiers and
+    components do not count.
+    """
     s, t = text(F.col(source)), text(F.col(target))
-    df = df.withColumns({"__ps": plain_text(s), "__pt": plain_text(t), "__ids": F.array_distinct(F.regexp_extract_all(s, F.lit(f"({identifier})"), F.lit(1)))})
+    df = df.withColumns({"__ps": plain_text(s), "__pt": plain_text(t), "__ids": F.array_except(F.array_distinct(F.regexp_extract_all(s, F.lit(f"({identifier})"), F.lit(1))), F.array(*map(F.lit, ignored)).cast("array<string>"))})
+    lost = F.lit(0) if components is None else F.size(F.array_except(F.array_except(components(s), components(t)), F.array(*map(F.lit, ignored)).cast("array<string>")))
+    df = df.withColumn("missing_components", lost)
     kept = F.filter("__ids", lambda i: F.contains(t, i))
     recall = F.when(F.size("__ids") >= 5, F.size(kept) / F.size("__ids"))
     df = df.withColumns({"prose_ratio": F.coalesce(F.try_divide(F.length("__pt"), F.length("__ps")), F.lit(0.0)), "identifier_recall": recall})
     prose = F.length("__ps") >= 120
     ratio, found = F.col("prose_ratio"), F.col("identifier_recall")
     hard = _reasons(prose_ratio=prose & ((ratio < 0.10) | (ratio > 1.50)), target_not_cjk=cjk_ratio(F.col("__pt")) < 0.05, identifiers_lost=F.coalesce(found < 0.30, F.lit(False)))
-    soft = _reasons(prose_ratio_review=prose & ((ratio < 0.25) | (ratio > 0.75)), identifiers_review=F.coalesce(found < 0.85, F.lit(False)))
+    soft = _reasons(components_missing=F.col("missing_components") >= most_missing, prose_ratio_review=prose & ((ratio < 0.25) | (ratio > 0.75)), identifiers_review=F.coalesce(found < 0.85, F.lit(False)))
     level = F.when(F.size(hard) > 0, "fail").when(F.size(soft) > 0, "review").otherwise("pass")
     return df.withColumns({"level": level, "reasons": F.concat(hard, soft)}).drop("__ps", "__pt", "__ids")
 

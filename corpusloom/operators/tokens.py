@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import text
+from corpusloom.operators.chat import message_status
 from corpusloom.operators.splits import global_rank, key_rank
 from corpusloom.operators.windows import pack_windows
 
@@ -39,6 +40,16 @@ def encode(df: DataFrame, prompt: str, answer: str, limit: int, policy: str = "d
     return out.withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1))).drop("__p", "__ids", "__labels")
 
 
+def encode_messages(df: DataFrame, limit: int, messages: str = "messages", policy: str = "drop") -> DataFrame:
+    """As :func:`encode`, from ``messages``: the last one is the answer, what stands before it the prompt; broken rows get no ids and status ``malformed``."""
+    sound = message_status(F.col(messages)) == "ok"
+    n = F.size(messages)
+    prompt = F.array_join(F.transform(F.slice(messages, 1, F.greatest(n - 1, F.lit(0))), lambda m: m["content"]), " ")
+    df = df.withColumns({"__prompt": F.when(sound, prompt), "__answer": F.when(sound, F.try_element_at(messages, F.lit(-1))["content"]), "__sound": sound})
+    out = encode(df, "__prompt", "__answer", limit, policy)
+    return out.withColumn("status", F.when(F.col("__sound"), F.col("status")).otherwise("malformed")).drop("__prompt", "__answer", "__sound")
+
+
 def stats(encoded: DataFrame) -> DataFrame:
     """Rows and tokens by status."""
     return encoded.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("input_ids").isNotNull(), F.size("input_ids"))), F.lit(0)).cast("long").alias("tokens"))

@@ -210,6 +210,11 @@ def a07_anomaly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.anomaly_summary(_anomalies(spark, sf_dir)).withColumn("anomaly_ratio", F.round("anomaly_ratio", 6))
 
 
+@query(f"{_ANOMALY} SELECT doc_id, concat_ws(',', size, script) AS reasons FROM w WHERE size IS NOT NULL OR script IS NOT NULL ORDER BY doc_id LIMIT 20")
+def a07_anomaly_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.anomaly_examples(_anomalies(spark, sf_dir), "doc_id").select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query(f"{_ANOMALY}, v AS (SELECT list_sort(list(ratio)) AS r, count(*) AS n FROM w) SELECT round(r[round_even(0.05 * (n - 1), 0)::BIGINT + 1], 6) AS p05, round(r[round_even(0.5 * (n - 1), 0)::BIGINT + 1], 6) AS p50, round(r[round_even(0.95 * (n - 1), 0)::BIGINT + 1], 6) AS p95 FROM v")
 def a05_ratio_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ranks.order_statistics(_anomalies(spark, sf_dir), "ratio", {"p05": ("nearest", 0.05), "p50": ("nearest", 0.5), "p95": ("nearest", 0.95)})
@@ -237,6 +242,12 @@ def q01_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_flags(docs, "text", "tgt").select("doc_id", F.array_join("flags", ",").alias("flags"))
 
 
+@query(f"WITH t AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 30) ELSE text || text || text END AS tgt FROM documents) SELECT doc_id FROM t WHERE NOT coalesce({_RATIO} < 0.15 OR {_RATIO} > 2.5, false)")
+def q02_drop_ratio_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("tgt", F.expr("CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 30) ELSE concat(text, text, text) END"))
+    return quality.drop_flagged(quality.quality_flags(docs, "text", "tgt"), "length_ratio_outlier").select("doc_id")
+
+
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def q04_drop_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.drop_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id")
@@ -306,11 +317,18 @@ def q08_structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.structured_chunks(docs, "doc_id", "text", 60, 120)
 
 
-@query()
+_EMBEDDED = (
+    "WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS word FROM benchmark), h AS (SELECT item_id, ('0x' || substr(sha1(word), 1, 16))::UBIGINT AS h FROM w),"
+    " d AS (SELECT item_id, (h % 64)::INT AS dimension, sum(CASE WHEN (h >> 32) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL), n AS (SELECT item_id, sqrt(sum(v * v)) AS norm FROM d GROUP BY item_id)"
+)
+
+
+@query(f"{_EMBEDDED} SELECT item_id, dimension, round((v / norm)::FLOAT::DOUBLE, 4) AS value FROM d JOIN n USING (item_id) WHERE v <> 0")
 def m01_hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.operators import models
 
-    return models.embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", F.size("vec").alias("width"))
+    found = models.embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", F.posexplode("vec").alias("dimension", "value"))
+    return found.where("value <> 0").select("item_id", "dimension", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS tokens, (40 + len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) + 1)::INT AS cost FROM documents")

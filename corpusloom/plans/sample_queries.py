@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import ranks
 from corpusloom.functions import text as T
-from corpusloom.operators import chat, joins, splits, tokens, windows
+from corpusloom.operators import chat, joins, metrics, splits, tokens, windows
 from corpusloom.plans.catalog import query, table
 
 _FRACTION = "('0x' || substr(sha1('scp-split-v1:' || {}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0"
@@ -199,7 +199,15 @@ def a03_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.beside(sums, ranks.order_statistics(rows, "tokens", wanted)).select("n", "least", "p50", "p90", "p99", "upper", "p95", "most", "mean")
 
 
-@query()
+_OVERLAP = (
+    f"WITH RECURSIVE {_PAIRS}, {_UNITS}, s AS (SELECT conv_id, k - 1 AS k, cost, sum(cost) OVER (PARTITION BY conv_id ORDER BY k) AS upto, count(*) OVER (PARTITION BY conv_id) AS n FROM units),"
+    " ends AS (SELECT a.conv_id, a.k AS first, any_value(a.n) AS n, greatest(max(b.k) FILTER (b.upto - a.upto + a.cost <= 260) + 1, a.k + 1) AS last FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.k >= a.k GROUP BY a.conv_id, a.k),"
+    " r AS (SELECT conv_id, 0 AS w, first, coalesce(last, first + 1) AS last, n FROM ends WHERE first = 0 UNION ALL"
+    " SELECT r.conv_id, r.w + 1, e.first, coalesce(e.last, e.first + 1), r.n FROM r JOIN ends e ON e.conv_id = r.conv_id AND e.first = greatest(r.first + 1, r.last - 1) WHERE r.last < r.n)"
+)
+
+
+@query(f'{_OVERLAP} SELECT conv_id, w::INT AS "window", first::INT AS unit_start, last::INT AS unit_end FROM r')
 def w03_overlapping_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.overlapping_windows(_units(spark, sf_dir), "conv_id", "turn", "cost", 260, 1)
 
@@ -327,3 +335,30 @@ def u01_union_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
     return joins.union_keys(labels.where("quality = 0"), labels.where("toxic = 1"), docs, pages, key="doc_id")
+
+
+_CHATS = "chats AS (SELECT conv_id, last(role ORDER BY turn) AS role, bool_or(text IS NULL OR role IS NULL) AS broken, count(*) AS n FROM conversations GROUP BY conv_id)"
+
+
+@query(f"WITH {_CHATS} SELECT conv_id, n::INT AS n, CASE WHEN role = 'assistant' AND NOT broken THEN 'ok' ELSE 'malformed' END AS status FROM chats")
+def n12_message_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.conversations(table(spark, sf_dir, "conversations"))
+    return chats.select("conv_id", F.size("messages").alias("n"), chat.message_status(F.col("messages")).alias("status"))
+
+
+_ALL_WORDS = _WORDS.format("text")
+
+
+@query(
+    f"WITH {_CHATS}, w AS (SELECT conv_id, sum({_ALL_WORDS}) AS words FROM conversations GROUP BY conv_id), x AS (SELECT words, CASE WHEN role <> 'assistant' OR broken THEN 'malformed' WHEN words = 0 THEN 'empty' WHEN words <= 200 THEN 'ok' ELSE 'overlong' END AS status FROM chats JOIN w USING (conv_id))"
+    " SELECT status, count(*) AS n, sum(CASE WHEN status = 'ok' THEN words ELSE 0 END)::BIGINT AS tokens FROM x GROUP BY status"
+)
+def n09_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.conversations(table(spark, sf_dir, "conversations"))
+    return tokens.stats(tokens.encode_messages(chats, 200))
+
+
+@query("SELECT source, count(*) AS steps, sum(n_chars)::BIGINT AS tokens, sum(length(lang) / 2.0)::DOUBLE AS seconds, sum(n_chars) / sum(length(lang) / 2.0)::DOUBLE AS tokens_per_second, count(*) / sum(length(lang) / 2.0)::DOUBLE AS steps_per_second, sum(length(lang) / 2.0)::DOUBLE / count(*) AS seconds_per_step FROM documents GROUP BY source")
+def a16_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "documents").withColumn("seconds", F.length("lang") / F.lit(2.0))
+    return metrics.throughput(runs, "source", "n_chars", "seconds")

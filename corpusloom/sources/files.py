@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from pathlib import PurePath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import derive_id, normalize_id
 from corpusloom.operators.joins import keep_first, paired
+from corpusloom.schemas import MOVE
 
 #: Column names accepted for a pair's fields, in order (fixed values).
 FIELDS: Mapping[str, Sequence[str]] = {
@@ -64,6 +65,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def read_moves(spark: SparkSession, path: str) -> DataFrame:
+    """Moves from JSON lines, with ``pos``: the file's own, else the line's place inside its document.
+
+    Lines of one document must stand in one file; a broken line is an error.
+    """
+    rows = spark.read.schema(MOVE).option("mode", "FAILFAST").json(path).withColumns({"__file": F.col("_metadata.file_path"), "__line": F.monotonically_increasing_id()})
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("__file", "__line")) - 1
+    return rows.withColumn("pos", F.coalesce("pos", place)).drop("__file", "__line")
+
+
+def not_split(paths: Sequence[str]) -> list[str]:
+    """The files that still wait for a split: not the results of one, and no unfinished ones."""
+    done = (".train.", ".val.", ".test.", ".tmp")
+    return [p for p in paths if not any(mark in f"{PurePath(p).name}" or PurePath(p).name.endswith(mark.rstrip(".")) for mark in done)]
+
+
 def read_json_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Pairs from a JSON file that is a list of records, an object with such a list, or a map from id to record."""
     whole = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 
 def collect_inputs(spark: SparkSession, path: str | None = None, literals: Sequence[str] = (), suffixes: Sequence[str] = ()) -> DataFrame:
-    """``path``, ``text``: whole files (with one of the suffixes, if given) or literal texts."""
+    """``path``, ``text``: whole files (with one of the suffixes, if given), literal texts, or standard input if the path is ``-``."""
+    if path == "-":
+        return spark.createDataFrame([("stdin", sys.stdin.read())], "path string, text string")
     if path is None:
         return spark.createDataFrame([(f"literal-{i}", t) for i, t in enumerate(literals)], "path string, text string")
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).format("text").load(path)

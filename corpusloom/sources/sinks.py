@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from corpusloom.operators.splits import hash_split
+
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
     """Write JSON lines by the job commit protocol (all or nothing); returns the number of rows."""
@@ -21,6 +23,17 @@ def write_splits(df: DataFrame, path: str, *keys: str, mode: str = "errorifexist
     df.write.mode(mode).partitionBy(*keys).json(path)
 
 
+def write_with_chat(df: DataFrame, chat: DataFrame, path: str, *keys: str, mode: str = "errorifexists") -> None:
+    """Samples and their chat companions side by side, each in a folder per value of the keys."""
+    write_splits(df, f"{path}/samples", *keys, mode=mode)
+    write_splits(chat, f"{path}/chat", *keys, mode=mode)
+
+
+def rewrite_split(df: DataFrame, path: str, doc: str, ratio: float) -> None:
+    """Existing samples split by their document's hash, in a new folder; a later run over the same samples splits them alike."""
+    write_splits(hash_split(df, doc, ratio), path, "split")
+
+
 def write_tokens(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Tokenised samples as Parquet: lists are stored as flat values with offsets."""
     df.write.mode(mode).parquet(path)
@@ -54,11 +67,12 @@ def report_markdown(title: str, sections: Mapping[str, Mapping], nested: int = 6
     return "\n".join(lines)
 
 
-def write_report(df: DataFrame, summary: DataFrame, path: str, title: str) -> None:
-    """Three parts below ``path``: the samples, the summary as JSON, and a markdown page (one text file each)."""
+def write_report(df: DataFrame, summary: DataFrame, path: str, title: str, worst: DataFrame | None = None) -> None:
+    """Three parts below ``path``: the samples, the summary as JSON, and a markdown page (one text file each), which lists up to 20 ``worst`` rows."""
     spark = df.sparkSession
     df.write.json(f"{path}/samples")
     summary.coalesce(1).write.json(f"{path}/summary")
     row = summary.first()
-    page = report_markdown(title, {"Summary": row.asDict() if row else {}})
+    rows = [json.dumps(r.asDict(recursive=True), ensure_ascii=False, default=str) for r in worst.limit(20).collect()] if worst is not None else None
+    page = report_markdown(title, {"Summary": row.asDict() if row else {}}, worst=rows)
     spark.createDataFrame([(page,)], "value string").coalesce(1).write.text(f"{path}/page")

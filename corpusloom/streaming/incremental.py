@@ -36,6 +36,17 @@ def cache_key(params: dict, *columns: Column) -> Column:
     return F.sha1(F.concat_ws("\0", F.lit(fixed), *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)))
 
 
+def file_cache_key(files: DataFrame, params: dict) -> Column:
+    """A key per input file that changes with its path, size, modification time and the parameters; ``files`` must read files."""
+    about = files["_metadata"]
+    return cache_key(params, about["file_path"], about["file_size"], about["file_modification_time"])
+
+
+def cache_sizes(cache: DataFrame, model: str = "model", vec: str = "vec") -> DataFrame:
+    """Per model: rows of an embedding cache and the bytes of their vectors (four a number)."""
+    return cache.groupBy(model).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(vec).cast("long") * 4).alias("bytes"))
+
+
 def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return not_done(todo, done, key)
 
