@@ -47,11 +47,12 @@ def _index(rule: str, p: float, n: int) -> int:
 def order_statistics(df: DataFrame, value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """One row with a column for each of ``wanted``, which names a rule (``floor``, ``upper`` or ``nearest``) and a share.
 
-    Values are counted, cut into ``RANGES`` ranges by approximate percentiles, and only
-    the ranges that hold a wanted index are sorted.  Nulls are left out; without values
+    Values are counted and cut into ``RANGES`` ranges by approximate percentiles, inside
+    which the counts are summed in order.  Nulls are left out; without values
     all columns are null.  Ties, repeated rows and other columns make no difference.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    # Filters on the value itself would be pushed below all that computes it, and repeat that.
+    counts = df.select(F.col(value).alias("v")).groupBy("v").agg(F.count("v").alias("n")).where("n > 0")
     found = df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]
     cuts = F.array(*(F.lit(c) for c in sorted(set(found or []))))
     ranged = counts.withColumn("r", F.size(F.filter(cuts, lambda c: c < F.col("v"))) if found else F.lit(0))
@@ -65,7 +66,7 @@ def order_statistics(df: DataFrame, value: str, wanted: dict[str, tuple[str, flo
                 break
             left -= sizes[r]
     inside = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = ranged.where(F.col("r").isin(*{r for r, _ in places.values()} or {-1})).withColumn("upto", F.sum("n").over(inside))
+    upto = ranged.withColumn("upto", F.sum("n").over(inside))
     at = {name: F.min(F.when((F.col("r") == places[name][0]) & (F.col("upto") > places[name][1]), F.col("v"))) if name in places else F.min(F.when(F.lit(False), F.col("v"))) for name in wanted}
     return upto.agg(*(c.alias(name) for name, c in at.items()))
 
