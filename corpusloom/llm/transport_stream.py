@@ -7,10 +7,11 @@ one private elementary stream.  The payload is cut into access units of
 program clock reference.  A sample is one byte, so ``RATE`` samples a second give
 the timestamps.
 
-:func:`demux` reads any such stream: it resynchronises after lost bytes, parses
-the program tables (with their CRC), checks continuity counters per PID,
-reassembles elementary packets over packet borders and adaptation fields, and
-lists timestamps and random-access points.
+:func:`demux` reads any such stream: it resynchronises after lost bytes where two
+sync bytes stand a packet apart, reassembles the sections of program tables over
+packet borders (with their CRC), checks continuity counters per PID, reassembles the
+elementary packets of each stream over packet borders and adaptation fields, marks
+those that lack bytes, and lists timestamps and random-access points.
 """
 
 from __future__ import annotations
@@ -112,11 +113,15 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Demuxed:
-    """What a transport stream holds."""
+    """What a transport stream holds: ``payloads`` by PID, of which ``payload`` is that of the first stream announced.
+
+    ``incomplete`` has the timestamps (-1 without one) of elementary packets that lack bytes; what there is of them is in the payload.
+    """
 
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, int] = field(default_factory=dict)
-    payload: bytes = b""
+    payloads: dict[int, bytes] = field(default_factory=dict)
+    incomplete: list[int] = field(default_factory=list)
     timestamps: list[int] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)
     packets: int = 0
@@ -124,10 +129,48 @@ class Demuxed:
     lost_bytes: int = 0
     bad_sections: int = 0
 
-
-def _sections(found: Demuxed, pid: int, data: bytes) -> None:
-    start = data[0] + 1 if data else 0
-    section = data[start : start + 3 + (int.from_bytes(data[start + 1 : start + 3], "big") & 0xFFF)]
+    @property
+    def payload(self) -> bytes:
+        return self.payloads.get(next(iter(self.streams), -1), b"")
+
+
+class _Sections:
+    """The sections of one PID, put together from the payloads of its packets."""
+
+    def __init__(self, found: Demuxed):
+        self.found, self.held, self.reading = found, b"", False
+
+    def add(self, data: bytes, start: bool) -> None:
+        if start and data:
+            pointer = data[0]
+            if self.reading:  # what stands before the pointer ends the section before
+                self.held += data[1 : 1 + pointer]
+                self._read()
+                if self.held:
+                    self.found.bad_sections += 1
+            self.held, self.reading = data[1 + pointer :], True
+        elif self.reading:
+            self.held += data
+        self._read()
+
+    def _read(self) -> None:
+        while self.reading and self.held:
+            if self.held[0] == 0xFF:  # stuffing up to the next start
+                self.held, self.reading = b"", False
+                return
+            size = 3 + (int.from_bytes(self.held[1:3], "big") & 0xFFF)
+            if len(self.held) < max(size, 3):
+                return
+            _section_read(self.found, self.held[:size])
+            self.held = self.held[size:]
+
+    def lost(self) -> None:
+        """A packet is missing: a section in work cannot be finished."""
+        self.found.bad_sections += bool(self.reading and self.held)
+        self.held, self.reading = b"", False
+
+
+def _section_read(found: Demuxed, section: bytes) -> None:
     if len(section) < 12 or crc32_mpeg(section):
         found.bad_sections += 1
         return
@@ -148,8 +191,9 @@ def demux(media: bytes) -> Demuxed:
     """Read a transport stream; damage is counted, never raised."""
     found, at, end = Demuxed(), 0, len(media)
     last: dict[int, int] = {}
-    open_: dict[int, list] = {}
-    done: list[bytes] = []
+    open_: dict[int, list] = {}  # by PID: random access, pieces, whether a packet is missing
+    done: dict[int, list[bytes]] = {}
+    sections: dict[int, _Sections] = {}
 
     def close(pid: int) -> None:
         unit = open_.pop(pid, None)
@@ -158,21 +202,26 @@ def demux(media: bytes) -> Demuxed:
         pes = b"".join(unit[1])
         if len(pes) < 9 or pes[:3] != b"\x00\x00\x01":
             return
-        size = int.from_bytes(pes[4:6], "big")
+        size, pts = int.from_bytes(pes[4:6], "big"), -1
         if pes[7] & 0x80 and len(pes) >= 14:
             p = pes[9:14]
             pts = (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
             if unit[0]:
                 found.random_access.append(pts)
             found.timestamps.append(pts)
-        done.append(pes[9 + pes[8] : 6 + size if size else None])
+        if unit[2] or (size and len(pes) < 6 + size):
+            found.incomplete.append(pts)
+        done.setdefault(pid, []).append(pes[9 + pes[8] : 6 + size if size else None])
 
     tables, streams = found.programs, found.streams
+    searching = False
     while at + PACKET <= end:
-        if media[at] != 0x47:
+        if media[at] != 0x47 or (searching and at + PACKET < end and media[at + PACKET] != 0x47):
             at += 1
             found.lost_bytes += 1
+            searching = True
             continue
+        searching = False
         high, low, flags = media[at + 1], media[at + 2], media[at + 3]
         pid, start, stop = (high & 0x1F) << 8 | low, at + 4, at + PACKET
         at = stop
@@ -195,19 +244,23 @@ def demux(media: bytes) -> Demuxed:
             continue  # a repeated packet
         if before is not None and counter != before + 1 & 15:
             found.continuity_errors += 1
+            if pid in open_:
+                open_[pid][2] = True
+            if pid in sections:
+                sections[pid].lost()
         last[pid] = counter
         if pid in streams:
             if high & 0x40:
                 close(pid)
-                open_[pid] = [access, [media[start:stop]]]
+                open_[pid] = [access, [media[start:stop]], False]
             elif pid in open_:
                 open_[pid][1].append(media[start:stop])
-        elif high & 0x40 and (pid == 0 or pid in tables.values()):
-            _sections(found, pid, media[start:stop])
+        elif pid == 0 or pid in tables.values():
+            sections.setdefault(pid, _Sections(found)).add(media[start:stop], bool(high & 0x40))
     found.lost_bytes += end - at
     for pid in list(open_):
         close(pid)
-    found.payload = b"".join(done)
+    found.payloads = {pid: b"".join(done.get(pid, [])) for pid in streams}
     return found
 
 
@@ -246,13 +299,15 @@ READ = T.StructType(
         T.StructField("streams", T.ArrayType(T.StructType([T.StructField("pid", _INT), T.StructField("stream_type", _INT)]))),
         T.StructField("timestamps", T.ArrayType(_LONG)),
         T.StructField("random_access", T.ArrayType(_LONG)),
+        T.StructField("incomplete", T.ArrayType(_LONG)),
+        T.StructField("others", T.ArrayType(T.StructType([T.StructField("pid", _INT), T.StructField("payload", T.BinaryType())]))),
         *(T.StructField(name, _LONG) for name in ("packets", "continuity_errors", "lost_bytes", "bad_sections")),
     ]
 )
 
 
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
-    """Replace a column of transport streams by what they hold (the columns of ``READ``).
+    """Replace a column of transport streams by what they hold (the columns of ``READ``): ``payload`` of the first stream announced, ``others`` of the rest.
 
     Input columns of these names give way.  A null stream gives nulls, a damaged
     one what can be read and the counts of its damage.
@@ -260,7 +315,7 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     require(df, media)
     kept = [f for f in df.schema.fields if f.name not in {media, *READ.names}]
     given = df.select(*(df[f"`{f.name}`"] for f in kept), df[f"`{media}`"].alias(media))
-    types = [pa.binary(), pa.list_(pa.struct([("program", pa.int32()), ("pid", pa.int32())])), pa.list_(pa.struct([("pid", pa.int32()), ("stream_type", pa.int32())])), *[pa.list_(pa.int64())] * 2, *[pa.int64()] * 4]
+    types = [pa.binary(), pa.list_(pa.struct([("program", pa.int32()), ("pid", pa.int32())])), pa.list_(pa.struct([("pid", pa.int32()), ("stream_type", pa.int32())])), *[pa.list_(pa.int64())] * 3, pa.list_(pa.struct([("pid", pa.int32()), ("payload", pa.binary())])), *[pa.int64()] * 4]
 
     def row(data: bytes | None) -> tuple:
         if data is None:
@@ -268,7 +323,8 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
         x = demux(data)
         programs = [{"program": a, "pid": b} for a, b in sorted(x.programs.items())]
         streams = [{"pid": a, "stream_type": b} for a, b in sorted(x.streams.items())]
-        return x.payload, programs, streams, x.timestamps, x.random_access, x.packets, x.continuity_errors, x.lost_bytes, x.bad_sections
+        others = [{"pid": pid, "payload": data} for pid, data in list(x.payloads.items())[1:]]
+        return x.payload, programs, streams, x.timestamps, x.random_access, x.incomplete, others, x.packets, x.continuity_errors, x.lost_bytes, x.bad_sections
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,6 +336,11 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     return given.mapInArrow(run, T.StructType([*kept, *READ.fields]))
 
 
+def _list_digest(column: str) -> Column:
+    """SHA-1 of a list of numbers, comma-joined."""
+    return F.sha1(F.array_join(F.col(column).cast("array<string>"), ","))
+
+
 def features(df: DataFrame) -> Column:
     """A line that describes what :func:`read_media` found."""
     first, last = F.element_at("timestamps", 1), F.element_at("timestamps", -1)
@@ -290,7 +351,7 @@ def features(df: DataFrame) -> Column:
             for name, value in {
                 "programs": F.size("programs"), "streams": F.size("streams"), "packets": F.col("packets"), "units": F.size("timestamps"),
                 "first_pts": F.when(F.size("timestamps") > 0, first), "last_pts": F.when(F.size("timestamps") > 0, last),
-                "random_access": F.size("random_access"), "continuity_errors": F.col("continuity_errors"), "lost_bytes": F.col("lost_bytes"), "bad_sections": F.col("bad_sections"),
+                "random_access": F.size("random_access"), "pts_sha1": _list_digest("timestamps"), "access_sha1": _list_digest("random_access"), "incomplete": F.size("incomplete"), "continuity_errors": F.col("continuity_errors"), "lost_bytes": F.col("lost_bytes"), "bad_sections": F.col("bad_sections"),
             }.items()
         ),
     )

@@ -77,4 +77,59 @@ def test_query_against_a_plain_version(spark, sf):
                 stored += p[at:]
         assert stored == padded
         wanted = {"programs": 1, "streams": 1, "packets": len(packets), "units": starts, "random_access": access, "continuity_errors": 0, "lost_bytes": 0, "bad_sections": 0}
-        assert wanted.items() <= {k: int(v) for k, v in (x.split("=") for x in r.feature.split(";"))}.items()
+        stamps = [i * ts.UNIT * ts.CLOCK // ts.RATE for i in range(starts)]
+        digest = lambda x: hashlib.sha1(",".join(map(str, x)).encode()).hexdigest()
+        wanted |= {"incomplete": 0, "pts_sha1": digest(stamps), "access_sha1": digest(stamps[:: ts.RANDOM_ACCESS_EVERY])}
+        assert {k: str(v) for k, v in wanted.items()}.items() <= dict(x.split("=") for x in r.feature.split(";")).items()
+
+
+def packet(pid, counter, data, start):
+    """One packet with its payload at the end, behind an adaptation field of stuffing."""
+    space = ts.PACKET - 4 - len(data)
+    head = b"\x47" + (pid | (0x4000 if start else 0)).to_bytes(2, "big")
+    if not space:
+        return head + bytes([0x10 | counter]) + data
+    return head + bytes([0x30 | counter, space - 1]) + (b"\x00" if space > 1 else b"").ljust(space - 1, b"\xff") + data
+
+
+def tables(pids):
+    """Program tables that announce many streams: the map is longer than a packet."""
+    pat = ts._section(0x00, 1, b"\x00\x01" + (0xE000 | 0x20).to_bytes(2, "big"))
+    body = (0xE000 | pids[0]).to_bytes(2, "big") + b"\xf0\x00" + b"".join(b"\x06" + (0xE000 | p).to_bytes(2, "big") + b"\xf0\x04note" for p in pids)
+    pmt = b"\x00" + ts._section(0x02, 1, body)
+    parts = [pmt[i : i + 150] for i in range(0, len(pmt), 150)]
+    return [packet(0, 0, b"\x00" + pat, True), *(packet(0x20, k & 15, x, not k) for k, x in enumerate(parts))]
+
+
+def pes(data, pts):
+    return b"\x00\x00\x01\xbd" + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + ts._stamp(pts) + data
+
+
+def test_sections_over_packets_and_one_payload_a_stream():
+    pids = list(range(0x101, 0x101 + 40))
+    packets = tables(pids)
+    assert len(packets) > 3
+    for k, pid in enumerate(pids[:3]):
+        packets.append(packet(pid, 0, pes(bytes([k]) * 50, 900 * k), True))
+    found = ts.demux(b"".join(packets))
+    assert list(found.streams) == pids and not found.bad_sections
+    assert found.payload == b"\x00" * 50 and [found.payloads[p] for p in pids[1:3]] == [b"\x01" * 50, b"\x02" * 50]
+    lost = ts.demux(b"".join(packets[:2] + packets[3:]))
+    assert not lost.streams and lost.bad_sections == 1 and lost.continuity_errors == 1
+
+
+def test_lost_packets_mark_their_unit():
+    payload = os.urandom(9000)
+    media = ts.mux(payload)
+    whole = ts.demux(media)
+    assert whole.incomplete == []
+    cut = ts.demux(media[: 188 * 6] + media[188 * 7 :])
+    assert cut.incomplete == [0] and len(cut.payload) == 9000 - 184 and cut.payload.endswith(payload[ts.UNIT :])
+    assert ts.demux(media[:-188]).incomplete == whole.timestamps[-1:]
+
+
+def test_a_sync_byte_alone_is_no_packet():
+    media = ts.mux(os.urandom(5000))
+    noise = b"\x00" * 20 + b"\x47" + b"\x00" * 60
+    found = ts.demux(noise + media)
+    assert found.lost_bytes == len(noise) and found.payload == ts.demux(media).payload
