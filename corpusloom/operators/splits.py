@@ -1,9 +1,15 @@
-"""Splits and samples whose decisions depend on keys alone, by hashes instead of a random generator's state."""
+"""Splits and samples whose decisions depend on keys alone, by hashes instead of a random generator's state.
+
+Rows of one key always go together, repeated ones too; a null key is a key of its own.
+Texts are not read.  Columns that an operator adds replace input columns of the same
+name.  Empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.ranks import beside, order_statistics
 from corpusloom.functions.text import hash_fraction
@@ -23,13 +29,20 @@ def hash_split(df: DataFrame, doc: str, ratio: float, salt: str = SALT) -> DataF
 
 
 def _numbered(keys: DataFrame, key: str, seed: int) -> DataFrame:
-    """Distinct keys with ``n`` before each in hash order, without a global window: hash prefixes are counted, then ranked inside."""
-    ranked = keys.select(key).distinct().withColumn("h", key_rank(F.col(key), seed)).withColumn("slot", F.substring("h", 1, 3))
-    sizes = ranked.groupBy("slot").agg(F.count(F.lit(1)).alias("size"))
-    # At most 4096 slots, whatever the number of keys.
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("slot").orderBy("h", key)) - 1
-    return ranked.join(F.broadcast(before), "slot").select(key, (F.col("before") + inside).alias("n"))
+    """Distinct keys (null is one) with ``n`` before each in hash order, without a global window: hash prefixes are counted, then ranked inside."""
+    ranked = keys.select(F.col(key).alias("__key")).distinct().withColumn("__h", F.coalesce(key_rank(F.col("__key"), seed), F.lit("")))
+    ranked = ranked.withColumn("__slot", F.substring("__h", 1, 3))
+    sizes = ranked.groupBy("__slot").agg(F.count(F.lit(1)).alias("__size"))
+    # At most 4097 slots, whatever the number of keys.
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("__slot").orderBy("__h", "__key")) - 1
+    return ranked.join(F.broadcast(before), "__slot").select("__key", (F.col("__before") + inside).alias("__n"))
+
+
+def _with_split(df: DataFrame, key: str, named: DataFrame) -> DataFrame:
+    """Rows with the ``split`` of their key; an input column ``split`` gives way."""
+    rest = df.drop("split")
+    return rest.join(named, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
 def group_split(df: DataFrame, key: str, val: float = 0.1, test: float = 0.1, train: float = 0.8, seed: int = 42) -> DataFrame:
@@ -43,8 +56,8 @@ def group_split(df: DataFrame, key: str, val: float = 0.1, test: float = 0.1, tr
     if groups >= 3:
         n_val = max(1, n_val)
         n_train = min(n_train, groups - n_val - 1)
-    name = F.when(F.col("n") < n_train, "train").when(F.col("n") < n_train + n_val, "val").otherwise("test")
-    return df.join(ranked.select(key, name.alias("split")), key)
+    name = F.when(F.col("__n") < n_train, "train").when(F.col("__n") < n_train + n_val, "val").otherwise("test")
+    return _with_split(df, key, ranked.select("__key", name.alias("split")))
 
 
 def remove_leaks(df: DataFrame, source_hash: str, target_hash: str, split: str = "split") -> DataFrame:
@@ -80,7 +93,7 @@ def holdout(df: DataFrame, doc: str, ratio: float, seed: int = 42) -> DataFrame:
     """Add ``split``: the first ``int(n * ratio)`` documents in hash order are val."""
     ranked = _numbered(df, doc, seed)
     limit = int(ranked.count() * ratio)
-    return df.join(ranked.select(doc, F.when(F.col("n") < limit, "val").otherwise("train").alias("split")), doc)
+    return _with_split(df, doc, ranked.select("__key", F.when(F.col("__n") < limit, "val").otherwise("train").alias("split")))
 
 
 def round_robin(df: DataFrame, doc: str, row_id: str, target: int, seed: int = 42) -> DataFrame:
@@ -117,23 +130,51 @@ def strata_sample(df: DataFrame, size: str, row_id: str, limit: int, strata: int
     return ranked.where(chosen).drop("rank")
 
 
+#: Ranges of sizes, and of ids inside a frequent size.
+SLOTS = 256
+
+
 def global_rank(df: DataFrame, size: str, row_id: str) -> DataFrame:
-    """Add ``rank`` (from 0) in the order of (size, row_id): sizes are counted first, and rows are ranked inside one size range."""
-    spark = df.sparkSession
-    cuts = df.agg(F.percentile_approx(size, [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    slot = F.lit(0)
-    for c in cuts:
-        slot = slot + (F.col(size) > c).cast("int")
-    dealt = df.withColumn("__slot", slot)
-    counts = {r["__slot"]: r["n"] for r in dealt.groupBy("__slot").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Add ``rank`` (from 0) in the order of (size, row_id), without a global window.
+
+    Rows are dealt into ranges of sizes by approximate percentiles, a size that is a
+    percentile having a range of its own; one that is several percentiles at once is
+    frequent, and its rows are dealt further into ranges of a numeric ``row_id``.  Ranges
+    are counted (at most ``SLOTS`` of each kind a frequent size), and rows are ranked
+    inside them.  Null sizes come first; ties in both columns are ranked in any order.
+    An input column ``rank`` gives way.  An empty table gives an empty one.
+    """
+    df = df.drop("rank")
+    kind = df.schema[row_id].dataType
+    shares = [i / SLOTS for i in range(1, SLOTS)]
+    wanted = [F.percentile_approx(size, shares, 10_000).alias("sizes")]
+    if isinstance(kind, T.NumericType):
+        wanted.append(F.percentile_approx(row_id, shares, 10_000).alias("ids"))
+    found = df.agg(*wanted).first().asDict()
+    sizes, ids = found["sizes"] or [], sorted(set(found.get("ids") or []))
+    cuts, often = sorted(set(sizes)), sorted({c for c in sizes if sizes.count(c) > 1})
+
+    def array(values: list, like: str) -> Column:
+        return F.array(*map(F.lit, values)).cast(T.ArrayType(df.schema[like].dataType))
+
+    def below(values: list, c: str) -> Column:
+        return F.size(F.filter(array(values, c), lambda x: x < F.col(c)))
+
+    def among(values: list) -> Column:
+        return F.coalesce(F.array_contains(array(values, size), F.col(size)), F.lit(False))
+
+    slot = 2 * below(cuts, size) + among(cuts).cast("int")
+    inner = F.when(among(often), below(ids, row_id)).otherwise(0) if often and ids else F.lit(0)
+    dealt = df.withColumns({"__slot": slot, "__inner": inner})
+    counts = {(r["__slot"], r["__inner"]): r["n"] for r in dealt.groupBy("__slot", "__inner").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = [], 0
-    for k in range(len(cuts) + 1):
-        before.append((k, total))
-        total += counts.get(k, 0)
-    offsets = spark.createDataFrame(before, "__slot int, __before long")
-    inside = F.row_number().over(Window.partitionBy("__slot").orderBy(size, row_id)) - 1
-    return dealt.withColumn("__in", inside).join(F.broadcast(offsets), "__slot").withColumn("rank", F.col("__before") + F.col("__in")).drop("__slot", "__before", "__in")
+    for key in sorted(counts):
+        before.append((*key, total))
+        total += counts[key]
+    offsets = df.sparkSession.createDataFrame(before, "__slot int, __inner int, __before long")
+    inside = F.row_number().over(Window.partitionBy("__slot", "__inner").orderBy(size, row_id)) - 1
+    ranked = dealt.withColumn("__in", inside).join(F.broadcast(offsets), ["__slot", "__inner"])
+    return ranked.withColumn("rank", F.col("__before") + F.col("__in")).drop("__slot", "__inner", "__before", "__in")
 
 
 def coverage(df: DataFrame, doc: str) -> DataFrame:

@@ -100,3 +100,25 @@ def test_round_robin(spark):
     df = spark.createDataFrame([(i, "big" if i < 90 else f"s{i}") for i in range(100)], "id int, doc string")
     rows = splits.round_robin(df, "doc", "id", 15).collect()
     assert len(rows) == 15 and len({r.doc for r in rows}) == 11
+
+
+def test_global_rank_of_frequent_sizes_and_nulls(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, r.choice([7, 7, 7, r.randrange(1000), None])) for i in r.sample(range(10**6), 4000)]
+    df = spark.createDataFrame(rows, "id long, n long").withColumn("rank", F.lit(-1))
+    found = {x.id: x.rank for x in splits.global_rank(df, "n", "id").collect()}
+    ordered = sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[0]))
+    assert [found[i] for i, _ in ordered] == list(range(4000))
+    named = df.withColumn("id", F.col("id").cast("string"))
+    assert sorted(x.rank for x in splits.global_rank(named, "n", "id").collect()) == list(range(4000))
+    assert splits.global_rank(df.limit(0), "n", "id").count() == 0
+
+
+def test_splits_with_clashing_names_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([(f"k{i % 12}" if i % 12 else None, i) for i in range(60)], "n string, split int").withColumn("slot", F.lit(1)).withColumn("h", F.lit(2))
+    for out in (splits.group_split(df, "n"), splits.holdout(df, "n", 0.3), splits.hash_split(df, "n", 0.3)):
+        assert out.count() == 60 and out.columns.count("split") == 1
+        assert max(x.k for x in out.groupBy("n").agg(F.countDistinct("split").alias("k")).collect()) == 1
+    assert splits.group_split(df.limit(0), "n").count() == 0 and splits.holdout(df.limit(0), "n", 0.5).count() == 0
