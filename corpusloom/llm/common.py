@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, if the input has fewer partitions than there are cores (a file of one row group is one partition)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_of(column: str = "text") -> Column:
     """The text, where null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, mixing, pii_crf, repeats, toxicity, transport_stream, warc, wrapper_induction
-from corpusloom.llm.common import scratch, table
+from corpusloom.llm.common import scratch, spread, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -20,7 +20,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return warc.derivatives(warc.responses(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))))
 
 
 def op2_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,15 +41,15 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_classes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("kept")
 
 
 def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii_crf.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii_crf.find_pii(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     base = F.filter("pii_spans", lambda s: ~s["kind"].startswith("crf_"))
     kinds = F.transform("pii_spans", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
@@ -58,7 +58,7 @@ def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     both = byte_bpe.bpe_encode(docs, path, packed=True, decoded="decoded")
     return both.select(
         "doc_id",
@@ -69,7 +69,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     with scratch():
         model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_texts(docs, model)
@@ -82,12 +82,12 @@ def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return wrapper_induction.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     given = docs.select(
         "doc_id",
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
