@@ -19,8 +19,10 @@
 
 Alignments depend on tree shapes alone and are remembered per pair of shapes.  Equal
 beginnings and ends of two lists of children are matched without a table (which
-loses nothing); lists whose table would still exceed ``MAX_CELLS`` are matched in
-parts of equal shares, so time grows in proportion to a page.  Counts are summed per
+loses nothing).  A table of more than ``MAX_CELLS`` is not held: :class:`Wide` walks its
+diagonals where a largest mapping can pass and gives the same pairs.  That is a small
+part of the table where lists are alike; time still grows with the product of their
+lengths where they are not.  Counts are summed per
 batch before the shuffle, so a host with a third of all pages costs no task more
 than others.  Pivots are broadcast if their size, which is measured, is below
 ``BROADCAST_BYTES``; otherwise pages are dealt by host and a salt to copies of them.
@@ -32,6 +34,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,10 +147,10 @@ class Matcher:
         high = 0
         while high < min(n, m) - low and left[n - 1 - high] == right[m - 1 - high]:
             high += 1
-        parts = 1 + (n - low - high) * (m - low - high) // MAX_CELLS
-        cuts = [[low + (size - low - high) * k // parts for k in range(parts + 1)] for size in (n, m)]
-        for k in range(parts):
-            pairs += self._table(left, right, *cuts[0][k : k + 2], *cuts[1][k : k + 2])
+        if (n - low - high) * (m - low - high) <= MAX_CELLS:
+            pairs += self._table(left, right, low, n - high, low, m - high)
+        else:
+            pairs += [(low + u, low + v) for u, v in Wide(left[low : n - high], right[low : m - high], self.known).pairs()]
         pairs += [(n - k, m - k) for k in range(high, 0, -1)]
         return 1 + sum(self.known[left[u], right[v]][0] for u, v in pairs), pairs
 
@@ -186,6 +189,125 @@ class Matcher:
         return found
 
 
+class Wide:
+    """The mapping that :meth:`Matcher._table` finds, of lists too long for a table.
+
+    Cell (i, j) of the table is the most that the first i and j children give.  Held
+    are only its differences to the cells above (``up``, by row) and to the left
+    (``left``, by column, backwards), of one diagonal i + j at a time.  A cell counts
+    only if what stands before and after it could still add up to a bound: first one
+    near the most that the children could give, then, if that is not reached, the sum
+    that was (no largest mapping passes a cell left out).  The way back computes the cells
+    around it again, from copies of some diagonals.
+    """
+
+    def __init__(self, left: list[int], right: list[int], known: dict):
+        self.n, self.m = len(left), len(right)
+        one, two = ({s: k for k, s in enumerate(dict.fromkeys(x))} for x in (left, right))
+        weights = np.array([[known[s, t][0] for t in two] for s in one], np.int64)
+        self.type = next(t for t in (np.int8, np.int16, np.int32) if weights.max() <= np.iinfo(t).max)
+        a, b = np.array([one[s] for s in left]), np.array([two[s] for s in right])
+        #: The most that the first i children could give, and the first j.
+        self.most = [np.concatenate([[0], np.cumsum(w[x])]) for w, x in ((weights.max(1), a), (weights.max(0), b))]
+        b = b[::-1]
+        few = min(len(one), len(two))
+        weights = weights.astype(self.type)
+        self.masks = []
+        if few > 8:
+            self.table, self.rows, self.columns = weights.ravel(), a * len(two), b.copy()
+        elif few == len(one):
+            self.masks = [(-(a == k).astype(self.type), weights[k][b]) for k in range(few)]
+        else:
+            self.masks = [(weights[:, k][a], -(b == k).astype(self.type)) for k in range(few)]
+
+    def _band(self, bound: int) -> None:
+        """First and last row of each diagonal whose cells can be on a way that gives ``bound``."""
+        ahead, beside = self.most
+        i = np.arange(self.n + 1)
+        low = np.searchsorted(beside, bound - (ahead[-1] - ahead), "left")
+        high = np.searchsorted(beside, ahead + beside[-1] - bound, "right") - 1
+        steps = np.append(i, self.n + 1) * self.m // self.n  # cells around the straight way keep the band in one piece
+        low, high = np.minimum(low, steps[:-1]), np.minimum(np.maximum(high, steps[1:]), self.m)
+        d = np.arange(self.n + self.m + 1)
+        first, last = np.searchsorted(i + high, d, "left"), np.searchsorted(i + low, d, "right") - 1
+        self.first, self.last = (np.maximum(first, np.maximum(1, d - self.m))).tolist(), np.minimum(last, np.minimum(self.n, d - 1)).tolist()
+
+    def _walk(self, begin: int, end: int, top: int, side: int, copies: dict | None = None, every: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Diagonals ``begin`` to ``end`` up to row ``top`` and column ``side``: first row, and the differences up and to the left."""
+        m, up, left, other, first, last = self.m, self.up, *self.left, self.first, self.last
+        best, work = np.empty(self.n, self.type), np.empty(self.n, self.type)
+        index = None if self.masks else np.empty(self.n, np.int64)
+        for d in range(begin, end + 1):
+            low, high = max(first[d], d - side), min(last[d], top)
+            if low <= high:
+                # Row i is at i - 1; column j = d - i, backwards, at m - j.
+                a, b = slice(low - 1, high), slice(m - d + low, m - d + high + 1)
+                w, x = best[: high - low + 1], work[: high - low + 1]
+                if self.masks:
+                    (mask, given), *others = self.masks
+                    np.bitwise_and(mask[a], given[b], out=w)
+                    for mask, given in others:
+                        np.bitwise_or(w, np.bitwise_and(mask[a], given[b], out=x), out=w)
+                else:
+                    np.take(self.table, np.add(self.rows[a], self.columns[b], out=index[: high - low + 1]), out=w, mode="clip")
+                over, before = up[a], left[b]
+                np.maximum(w, before, out=w)
+                np.maximum(w, over, out=w)
+                now = other[b]
+                np.subtract(w, over, out=now)
+                np.subtract(w, before, out=over)
+                if copies is None:
+                    yield low, over == 0, now == 0
+                elif d % every == 0:
+                    copies[d] = (a, b, over.copy(), now.copy())
+            elif copies is None:
+                yield low, *(np.zeros(0, bool),) * 2
+            left, other = other, left
+
+    def _clear(self) -> None:
+        self.up, self.left = np.zeros(self.n, self.type), [np.zeros(self.m, self.type) for _ in range(2)]
+
+    def _sums(self, bound: int, copies: dict, every: int) -> int:
+        """The most that ways through the band give; all largest mappings are in it if that reaches the bound."""
+        self._band(bound)
+        self._clear()
+        for _ in self._walk(2, self.n + self.m, self.n, self.m, copies, every):
+            pass
+        return int(self.up.sum(dtype=np.int64))
+
+    def pairs(self) -> list[tuple[int, int]]:
+        most = int(min(x[-1] for x in self.most))
+        copies: dict[int, tuple] = {}
+        every = 1 + int((self.n + self.m) ** 0.6)
+        bound = most - most // 16
+        found = self._sums(bound, copies, every)
+        if found < bound:
+            copies.clear()
+            self._sums(found, copies, every)
+        out, i, j = [], self.n, self.m
+        while i and j:
+            d = i + j
+            start = (d - 1) // every * every
+            self._clear()
+            if start in copies:
+                a, b, over, now = copies[start]
+                self.up[a] = over
+                for x in self.left:
+                    x[b] = now
+            cells = list(self._walk(max(start + 1, 2), d, i, j))
+            begin = d + 1 - len(cells)
+            while i and j and i + j >= begin:
+                low, over, now = cells[i + j - begin]
+                if over[i - low]:
+                    i -= 1
+                elif now[i - low]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+        return out[::-1]
+
+
 class Pivot:
     """A pivot's tree, by node its slots (number and text), and which nodes may not be regions."""
 

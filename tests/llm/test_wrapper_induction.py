@@ -154,3 +154,39 @@ def test_equal_ends_lose_nothing():
         page = lambda: "<div>" + "".join(r.choice(["<p>x</p>", "<p><b>x</b></p>", "<ul><li>a</ul>"]) for _ in range(r.randint(0, 6))) + "</div>"
         a, b = m.tree(page()), m.tree(page())
         assert m.score(a, 0, b, 0) == brute(a, 0, b, 0)
+
+
+def test_wide_lists_are_mapped_like_short_ones(monkeypatch):
+    r = random.Random(5)
+    m = W.Matcher()
+    for k, top, n in ((3, 4, 40), (12, 4, 40), (3, 300, 60), (12, 70_000, 25), (1, 1, 30)):
+        for _ in range(6):
+            m.known = {(s, t): (r.choice([0, r.randint(1, top)]), []) for s in range(k) for t in range(k)}
+            a, b = ([r.randrange(k) for _ in range(r.randint(1, n))] for _ in range(2))
+            for b in (b, a[: len(a) // 3] + b[:2] + a[len(a) // 3 :]):
+                assert W.Wide(a, b, m.known).pairs() == m._table(a, b, 0, len(a), 0, len(b))
+    pages = ["<div>" + "".join(r.choice(["<p>x</p>", "<p><b>x</b></p>", "<p><i>x</i><b>y</b></p>", "<ul><li>a</ul>"]) for _ in range(size)) + "</div>" for size in (700, 640)]
+    found = []
+    for cells in (W.MAX_CELLS, 10**9):
+        monkeypatch.setattr(W, "MAX_CELLS", cells)
+        m = W.Matcher()
+        found.append(m.align(*map(m.tree, pages)))
+    assert 640 * 700 > 250_000 and found[0] == found[1]
+
+
+def test_a_notice_is_template_however_wide_its_page_is(spark):
+    for size in (1, 100):
+        pages, wanted = [], []
+        for i in range(12):
+            lead, rest = [f"lead {i} {k}" for k in range(i % 2 * 8 * size)], [f"body {i} {k}" for k in range(6 * size)]
+            tag = "bi"[i % 2]
+            pages.append("<article>" + "".join(f"<p>{x}</p>" for x in lead) + "<ul><li>Read this<li>and this</ul>" + "".join(f"<p>{x}</p>" for x in rest) + f"<p><{tag}>end {i}</{tag}></p></article>")
+            wanted.append([*lead, *rest, f"end {i}"])
+        assert texts_of(spark, pages) == wanted
+
+
+def test_pivots_by_broadcast_and_by_salt_give_equal_texts(spark, monkeypatch):
+    pages, wanted = disguised(30)
+    for limit in (W.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(W, "BROADCAST_BYTES", limit)
+        assert texts_of(spark, pages) == wanted
