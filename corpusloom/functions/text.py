@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 _SPACES = r"\s\x1c-\x1f"
 SPACE = f"[{_SPACES}]"
+SPACE_SEPARATORS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _STRIP = rf"(?U)\A{SPACE}+|{SPACE}+\z"
 CJK = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{3000}-\x{303f}]"
 #: Markers removed from plain text, in this order (fixed values).
@@ -43,6 +44,11 @@ def split_paragraphs(c: Column, min_chars: int = 1) -> Column:
     return F.filter(parts, lambda p: F.length(p) >= max(min_chars, 0))
 
 
+def lines(c: Column) -> Column:
+    """Lines as they stand, without those of space separators (Unicode category Zs) alone; null gives an empty array."""
+    return F.filter(F.split(text(c), "\n"), lambda x: F.btrim(x, F.lit(SPACE_SEPARATORS)) != "")
+
+
 def normalize_text(c: Column, bom: bool = True, newlines: bool = True, trim: bool = True) -> Column:
     """Drop leading byte-order marks, unify line ends, strip line feeds, blanks and tabs; each step can be turned off."""
     out = text(c)

@@ -101,9 +101,9 @@ def embed(paragraphs: DataFrame, text: str, factory: Callable[[], Embedder] = Ha
     return paragraphs.withColumn("vec", run(text))
 
 
-def paragraphs_of(pages: DataFrame, doc: str, source: str, target: str) -> DataFrame:
-    """``doc``, ``side``, ``idx``, ``text``, ``side_hash`` of pages whose both sides have paragraphs."""
-    sides = pages.select(F.col(doc).cast("string").alias("doc"), split_paragraphs(F.col(source)).alias("s"), split_paragraphs(F.col(target)).alias("t"))
+def paragraphs_of(pages: DataFrame, doc: str, source: str, target: str, split: Callable[[Column], Column] = split_paragraphs) -> DataFrame:
+    """``doc``, ``side``, ``idx``, ``text``, ``side_hash`` of pages whose both sides have paragraphs, as ``split`` finds them."""
+    sides = pages.select(F.col(doc).cast("string").alias("doc"), split(F.col(source)).alias("s"), split(F.col(target)).alias("t"))
     kept = sides.where((F.size("s") > 0) & (F.size("t") > 0))
     rows = F.explode(F.array(*(F.struct(F.lit(n).alias("side"), F.col(n).alias("ps"), side_hash(F.col(n)).alias("hash")) for n in ("s", "t"))))
     return kept.select("doc", rows.alias("x")).select("doc", "x.side", F.col("x.hash").alias("side_hash"), F.posexplode("x.ps").alias("idx", "text"))
