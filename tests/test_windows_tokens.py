@@ -24,6 +24,19 @@ def test_plan_windows(spark):
     assert all(r.tokens <= 5 for r in rows) and " ".join(r.text for r in rows).split() == text.split()
 
 
+def test_windows_leave_before_all_rows_are_read():
+    read = []
+
+    def rows():
+        for i in range(50):
+            read.append(i)
+            yield str(i), ["a b c d", "e f g h"]
+
+    batches = W.planned_batches(rows(), 5, 0, W.count_words, most=20)
+    assert next(batches).num_rows == 3 and len(read) == 2
+    assert sum(b.num_rows for b in batches) == 97
+
+
 def test_sentences():
     assert W.sentence_pieces("A b. C d! E", 4, W.count_words) == ["A b. C d!", "E"]
     assert "".join(W.sentence_pieces("abcdefgh", 3, len)) == "abcdefgh"
