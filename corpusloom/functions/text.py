@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 _SPACES = r"\s\x1c-\x1f"
 SPACE = f"[{_SPACES}]"
 SPACE_SEPARATORS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-_STRIP = rf"(?U)\A{SPACE}+|{SPACE}+\z"
+#: What ``SPACE`` matches, one by one.
+_ALL_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u2028\u2029" + SPACE_SEPARATORS
 CJK = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{3000}-\x{303f}]"
 #: Markers removed from plain text, in this order (fixed values).
 INLINE_MARKERS = ("**", "//", "__", "--", "##")
@@ -30,7 +31,7 @@ VARIANT_MARKERS = ("-D", "-ARC", "-EX", "-J", "-OLD", "-NEW", "-TEST")
 
 def strip(c: Column) -> Column:
     """Without white space at both ends (all Unicode white space)."""
-    return F.regexp_replace(c, _STRIP, "")
+    return F.btrim(c, F.lit(_ALL_SPACES))
 
 
 def text(c: Column) -> Column:
@@ -153,7 +154,7 @@ def safe_name(c: Column) -> Column:
 
 def count_of(c: Column, literal: str) -> Column:
     """Non-overlapping occurrences."""
-    return ((F.length(c) - F.length(F.replace(c, F.lit(literal), F.lit("")))) / len(literal)).cast("int")
+    return ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(literal), F.lit("")))) / len(literal.encode())).cast("int")
 
 
 def share_of(c: Column, pattern: str) -> Column:

@@ -137,7 +137,9 @@ def anomaly_summary(df: DataFrame) -> DataFrame:
 
 def anomaly_examples(df: DataFrame, row_id: str, k: int = 20) -> DataFrame:
     """The first ``k`` rows with a reason, by ``row_id``."""
-    return df.where(F.size("reasons") > 0).orderBy(row_id).limit(k)
+    # explode_outer: a filter on the reasons themselves would be pushed below all that computes them, and repeat that.
+    some = F.explode_outer(F.array(F.size("reasons") > 0)).alias("__some")
+    return df.select("*", some).where("__some").drop("__some").orderBy(row_id).limit(k)
 
 
 def anomaly_report(df: DataFrame) -> DataFrame:
