@@ -7,6 +7,7 @@ Column) that sort the values of a group in one row, for small groups.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +48,21 @@ def _index(rule: str, p: float, n: int) -> int:
 def order_statistics(df: DataFrame, value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """One row with a column for each of ``wanted``, which names a rule (``floor``, ``upper`` or ``nearest``) and a share.
 
-    Values are counted and cut into ``RANGES`` ranges by approximate percentiles, inside
-    which the counts are summed in order.  Nulls are left out; without values
-    all columns are null.  Ties, repeated rows and other columns make no difference.
+    Values are computed and counted once; the counts are kept on the executors' disks until the result is known, and cut
+    into ``RANGES`` ranges by approximate percentiles, inside which they are summed in order.  Nulls are left out; without
+    values all columns are null.  Ties, repeated rows and other columns make no difference.
     """
     # Filters on the value itself would be pushed below all that computes it, and repeat that.
-    counts = df.select(F.col(value).alias("v")).groupBy("v").agg(F.count("v").alias("n")).where("n > 0")
-    found = df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]
+    counts = df.select(F.col(value).alias("v")).groupBy("v").agg(F.count("v").alias("n")).where("n > 0").persist(StorageLevel.DISK_ONLY)
+    try:
+        found = _at_ranks(counts, wanted)
+        return df.sparkSession.createDataFrame(found.collect(), found.schema)
+    finally:
+        counts.unpersist()
+
+
+def _at_ranks(counts: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    found = counts.agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]
     cuts = F.array(*(F.lit(c) for c in sorted(set(found or []))))
     ranged = counts.withColumn("r", F.size(F.filter(cuts, lambda c: c < F.col("v"))) if found else F.lit(0))
     sizes = {x["r"]: x["n"] for x in ranged.groupBy("r").agg(F.sum("n").alias("n")).collect()}

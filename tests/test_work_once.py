@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import ranks
 from corpusloom.functions import text as T
 from corpusloom.operators import metrics
 
@@ -14,6 +15,18 @@ def test_examples_strip_markup_once_a_text(spark):
     assert [(r.id, r.reasons) for r in found.collect()] == [(1, ["empty_hypothesis"]), (2, ["empty_hypothesis"])]
 
 
+def test_order_statistics_compute_values_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def value(x):
+        made.add(1)
+        return x % 7
+
+    found = ranks.order_statistics(spark.range(100).select(value("id").alias("v")), "v", {"low": ("floor", 0.0), "mid": ("upper", 0.5)})
+    assert tuple(found.first()) == (0, 3) and made.value == 100
+
+
 def test_strip_takes_all_unicode_white_space(spark):
     df = spark.createDataFrame([(f"{chr(i)}a {chr(i)}",) for i in range(1, 0x3100)], "t string")
     assert df.where(T.strip(F.col("t")) != F.regexp_replace("t", r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")).count() == 0
