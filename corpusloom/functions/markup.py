@@ -48,6 +48,18 @@ def find(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def constructs_only(c: Column) -> Column:
+    """The constructs of a text, end to end, and what follows a last ``[[`` that is never closed.
+
+    ``tag_names``, ``params``, ``includes``, ``modules``, ``protected_tokens``, ``opened`` and ``closed`` find the same
+    in it as in the text: every ``[[`` stands in one of these parts, and what they match ends before the next ``]``
+    or with the next ``]]``.
+    """
+    rest = F.substring_index(c, "]]", -1)
+    open_ = F.when(F.contains(rest, F.lit("[[")), F.regexp_extract(rest, r"(?s)\[\[.*", 0)).otherwise("")
+    return F.concat(F.array_join(find(c, CONSTRUCT, 0), ""), open_)
+
+
 def tag_names(c: Column) -> Column:
     return F.transform(find(c, TAG), lambda t: F.rtrim(F.lower(t), F.lit("_")))
 

@@ -56,11 +56,14 @@ def validate(df: DataFrame, source: str = "source", hypothesis: str = "hypothesi
     """
     s, h = text(F.col(source)), text(F.col(hypothesis))
     df = df.withColumns({"__s": s, "__h": h})
+    # All but addresses and code bodies stand in constructs, a small part of most texts.
+    df = df.withColumns({f"__in_{side}": M.constructs_only(F.col(f"__{side}")) for side in "sh"})
+    whole = ("url", "code_body")
     both = {
         "tag": M.tag_names, "url": lambda c: M.urls(c, sites), "param": M.params, "include": lambda c: M.includes(c, sites),
         "module": M.modules, "protected": M.protected_tokens, "open": M.opened, "close": M.closed, "code_body": M.code_bodies,
     }
-    df = df.withColumns({f"__{k}_{side}": f(F.col(f"__{side}")) for k, f in both.items() for side in "sh"})
+    df = df.withColumns({f"__{k}_{side}": f(F.col(f"__{side}" if k in whole else f"__in_{side}")) for k, f in both.items() for side in "sh"})
     df = df.withColumns({f"__{k}": counted(F.col(f"__{k}_s"), F.col(f"__{k}_h")) for k in ("tag", "url", "param", "include", "module", "protected", "code_body")})
     df = df.withColumns({f"__{k}_more": counted(F.col(f"__{k}_h"), F.col(f"__{k}_s")) for k in ("include", "module")})
     counts = {"code": M.CODE, "heading": M.HEADING}
@@ -71,7 +74,8 @@ def validate(df: DataFrame, source: str = "source", hypothesis: str = "hypothesi
     def times(a: str, tag: Column) -> Column:
         return F.size(F.filter(a, lambda x: x == tag))
 
-    paired = F.array(*map(F.lit, M.PAIRED_TAGS))
+    # Tags that the source has neither opened nor closed give no outcome and no issue.
+    paired = F.array_intersect(F.array(*map(F.lit, M.PAIRED_TAGS)), F.concat("__open_s", "__close_s"))
     df = df.withColumn("__balance", F.transform(paired, lambda t: F.struct(t.alias("key"), times("__open_s", t).alias("want"), times("__open_h", t).alias("got"), times("__close_h", t).alias("closed"), times("__close_s", t).alias("had"))))
 
     def least(e: Column) -> Column:

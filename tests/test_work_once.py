@@ -1,7 +1,10 @@
 """Queries that compute each text's prose and each value once, and extractors on constructs alone."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from corpusloom.functions import markup as M
 from corpusloom.functions import ranks
 from corpusloom.functions import text as T
 from corpusloom.operators import metrics
@@ -27,6 +30,14 @@ def test_order_statistics_compute_values_once(spark):
     assert tuple(found.first()) == (0, 3) and made.value == 100
 
 
+def test_constructs_hold_what_extractors_find(spark):
+    pick = random.Random(1)
+    parts = ["[[", "]]", "[", "]", "/", " ", "\n", "include ", "module ", "a", "div", "x=", "|", "=", ":", "]]]", "[[[", "span_"]
+    df = spark.createDataFrame([("".join(pick.choice(parts) for _ in range(pick.randint(0, 14))),) for _ in range(3000)], "t string").withColumn("m", M.constructs_only(F.col("t")))
+    for f in (M.tag_names, M.params, M.includes, M.modules, M.protected_tokens, M.opened, M.closed):
+        assert df.where(f(F.col("t")) != f(F.col("m"))).count() == 0
+
+
 def test_strip_takes_all_unicode_white_space(spark):
     df = spark.createDataFrame([(f"{chr(i)}a {chr(i)}",) for i in range(1, 0x3100)], "t string")
     assert df.where(T.strip(F.col("t")) != F.regexp_replace("t", r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")).count() == 0
